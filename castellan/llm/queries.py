@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castellan.llm import mixing, splitting, tokens
+from castellan.llm import conversations, mixing, repeats, splitting, tokens
 from castellan.plans.load import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.dropped(conversations.placed(table(spark, d, "session_messages")))
+
+
+def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(table(spark, d, "session_messages"))
+
+
+def _runs(spark: SparkSession, d: str, positions: bool) -> DataFrame:
+    return repeats.all_runs(table(spark, d, "session_messages"), table(spark, d, "findings"), positions)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d, False).select("seq_table", "session_key", "first_row_id", "occurrences")
+
+
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.collapsed(_runs(spark, d, True))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -28,5 +48,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), table(spark, d, "chunk_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p6_found, p6_runs, p8_ids, p9_mix, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}

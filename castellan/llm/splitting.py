@@ -136,13 +136,14 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
             keep = ~again
             done.append((text[keep], piece[keep], begin_byte[keep], stop_byte[keep], shared[keep]))
         # the next piece starts the overlap before this cut, on a character border
-        back = np.searchsorted(cut_token, stop - lap, "right") - 1
-        back_token = np.where(lap > 0, cut_token[np.maximum(back, 0)], stop)
-        fresh = (back >= 0) & (back_token > begin)
-        next_token = np.where(fresh, back_token, stop)
-        next_byte = np.where(fresh & (lap > 0), cut_byte[np.maximum(back, 0)], stop_byte)
+        next_token, next_byte, kept_in = stop.copy(), stop_byte.copy(), np.zeros(len(stop), np.int64)
+        ask = np.flatnonzero(~again & ~final & (lap > 0))
+        if len(ask):
+            back, kept_in[ask] = overlap_starts(enc, data, cut_token, cut_byte, begin[ask], stop[ask], stop_byte[ask], lap[ask])
+            found = back >= 0
+            next_token[ask[found]], next_byte[ask[found]] = cut_token[back[found]], cut_byte[back[found]]
         go = again | ~final
-        shared = np.where(again, shared, stop - next_token)[go]
+        shared = np.where(again, shared, kept_in)[go]
         begin, begin_byte = np.where(again, begin, next_token)[go], np.where(again, begin_byte, next_byte)[go]
         piece = np.where(again, piece, piece + 1)[go]
         text, limit, cap, lap = text[go], limit[go], cap[go], lap[go]
@@ -153,6 +154,27 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
     return [(text, piece, a, b, char(a), char(b), shared)]
 
 
+def overlap_starts(enc: Encoder, data: np.ndarray, cut_token: np.ndarray, cut_byte: np.ndarray, begin: np.ndarray, stop: np.ndarray, stop_byte: np.ndarray, lap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the cut where the next piece starts, -1 for none, and the tokens of the
+    text shared by both pieces, encoded on its own.
+
+    The first guess counts tokens of the whole text; as white space at an end may encode
+    otherwise there, its neighbours are tried too, until the shared text has exactly the
+    overlap asked.
+    """
+    guess = np.searchsorted(cut_token, stop - lap, "right") - 1
+    best, size = np.full(len(lap), -1), np.zeros(len(lap), np.int64)
+    for step in (0, -1, 1, -2, 2):
+        at = np.clip(guess + step, 0, len(cut_token) - 1)
+        open_ = np.flatnonzero((size != lap) & (guess + step == at) & (cut_token[at] > begin) & (cut_token[at] < stop))
+        if not len(open_):
+            continue
+        got = piece_sizes(enc, data, cut_byte[at[open_]], stop_byte[open_])
+        better = (size[open_] == 0) | (got == lap[open_])
+        best[open_[better]], size[open_[better]] = at[open_[better]], got[better]
+    return best, size
+
+
 def piece_sizes(enc: Encoder, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Tokens of data[a:b] when each is encoded on its own."""
     size = b - a
@@ -179,9 +201,9 @@ def pieces(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFA
     """Ordered pieces of every text above the limit of its kind (narrow: no shuffle).
 
     (doc_id, piece_no, start_char, end_char, n_tokens, overlap_tokens, piece): n_tokens is
-    that of the piece encoded on its own and at most max_tokens; overlap_tokens are shared
-    with the piece before, more than asked only where no character ends at the exact
-    token.  Null, empty and small texts give no pieces; a null or unlisted kind takes the
+    that of the piece encoded on its own and at most max_tokens; overlap_tokens is the size
+    of the text shared with the piece before, other than asked only where no character
+    ends at the exact token.  Null, empty and small texts give no pieces; a null or unlisted kind takes the
     row 'default'; without that row such texts stay whole.  An overlap not below the limit
     counts as limit - 1.  A single character of more tokens than the limit stays whole.
     """
