@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castellan.llm import conversations, mixing, repeats, splitting, tokens
+from castellan.llm import conversations, mixing, repeats, secrets, splitting, tokens
+from castellan.llm.queries_sql import SQL as _SQL
 from castellan.plans.load import table
 
 
@@ -28,6 +29,18 @@ def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     return repeats.collapsed(_runs(spark, d, True))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.texts({t: table(spark, d, t) for t in ("tool_results", "findings")})
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.cases(_texts(spark, d)).select("src_table", "field_name", "row_key", "start_pos")
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(_texts(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -48,5 +61,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), table(spark, d, "chunk_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p6_found, p6_runs, p8_ids, p9_mix, p9_shares, p10_pieces)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p6_found, p6_runs, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_pieces)}
+SQL: dict[str, str] = dict(_SQL)
