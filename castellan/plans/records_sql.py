@@ -69,7 +69,7 @@ living as (
   select c.session_key, c.id from calls c left join gone g on c.session_key = g.session_key and c.id = g.id
   where g.gone_at is null or g.gone_at <= c.last_in),
 refs as (
-  select 'session_messages' as ref_table, 'tool_use_id' as ref_column, row_id as ref_key, session_key, {trimmed('tool_use_id')} as id, ingest_ts as at from kept where {filled('tool_use_id')}
+  select 'session_messages' as ref_table, 'tool_use_id' as ref_column, row_id as ref_key, session_key, {trimmed('tool_use_id')} as id, ingest_ts as seen from kept where {filled('tool_use_id')}
   union all select 'tool_results', 'tool_use_id', result_id, {session_key_sql('session_id')}, {trimmed('tool_use_id')}, returned_at from tool_results where {filled('tool_use_id')}
   union all select 'findings', 'call_id', finding_id, {session_key_sql('session_id')}, {trimmed('call_id')}, seen_at from findings where {filled('call_id')}),
 lost as (
@@ -80,9 +80,59 @@ lost as (
 """
 
 _CSV_FIELD = '("([^"]|"")*"|[^",]*)'
-_JSON_BAD = "not json_valid(raw_text)"
+# json_valid takes NaN, Infinity and commas before a closing bracket; RFC 8259 doesn't
+_BARE = """regexp_replace(raw_text, '"([^"\\\\]|\\\\.)*"', '""', 'g')"""
+_JSON_BAD = f"(not json_valid(raw_text) or regexp_matches({_BARE}, '(?i)nan|inf|,\\s*[}}\\]]'))"
+
+_DRIFT = """
+with recursive tree as (
+  select r.rec_id, t.id, t.parent, t.key, t.type from drift_records r, json_tree(r.record) t where json_valid(r.record)),
+names as (select field_name, min(canonical_name) as canonical_name from field_names group by 1),
+fields as (
+  select c.rec_id, c.id, c.parent, c.type, c.key, p.type = 'ARRAY' as in_array,
+    coalesce(n.canonical_name, replace(replace(lower(c.key), '_', ''), '-', '')) as name
+  from tree c left join tree p on p.rec_id = c.rec_id and p.id = c.parent
+  left join names n on n.field_name = replace(replace(lower(c.key), '_', ''), '-', '')),
+walk as (
+  select rec_id, id, '' as path, type, cast(null as varchar) as spelling, true as element from tree where parent is null
+  union all
+  select f.rec_id, f.id, case when f.in_array then w.path when w.path = '' then f.name else w.path || '.' || f.name end, f.type, f.key, f.in_array
+  from walk w join fields f on f.rec_id = w.rec_id and f.parent = w.id where w.path <> 'message.content.input'),
+seen as (
+  select d.stream_name, d.file_id, w.path as field_path, w.spelling,
+    case w.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end as kind
+  from walk w join drift_records d using (rec_id) where not w.element),
+files as (
+  select stream_name, file_id, row_number() over (partition by stream_name order by min(file_time), file_id) as no from drift_records group by 1, 2),
+cat as (
+  select s.stream_name, f.no, s.file_id, field_path, list_sort(list(distinct spelling)) as spellings,
+    coalesce(list_sort(list(distinct kind) filter (kind is not null)), []) as kinds
+  from seen s join files f on f.stream_name = s.stream_name and f.file_id = s.file_id group by 1, 2, 3, 4),
+pairs as (
+  select n.stream_name, n.file_id, n.no, o.no as old_no from files n join files o on o.stream_name = n.stream_name and o.no = n.no - 1),
+both_ as (select p.file_id, a.field_path, a.spellings, a.kinds, b.spellings as old_spellings, b.kinds as old_kinds from pairs p
+  join cat a on a.stream_name = p.stream_name and a.no = p.no join cat b on b.stream_name = p.stream_name and b.no = p.old_no and b.field_path = a.field_path),
+one as (
+  select p.file_id, a.field_path, 'added' as change_kind from pairs p join cat a on a.stream_name = p.stream_name and a.no = p.no
+    where not exists (select 1 from cat b where b.stream_name = p.stream_name and b.no = p.old_no and b.field_path = a.field_path)
+  union all
+  select p.file_id, b.field_path, 'removed' from pairs p join cat b on b.stream_name = p.stream_name and b.no = p.old_no
+    where not exists (select 1 from cat a where a.stream_name = p.stream_name and a.no = p.no and a.field_path = b.field_path)),
+changed as (
+  select o.* from one o where position('.' in o.field_path) = 0
+    or exists (select 1 from both_ b where b.file_id = o.file_id and b.field_path = regexp_replace(o.field_path, '\\.[^.]*$', ''))
+  union all select file_id, field_path, 'renamed' from both_ where spellings <> old_spellings
+  union all select file_id, field_path, 'retyped' from both_ where kinds <> old_kinds and len(kinds) > 0 and len(old_kinds) > 0)
+"""
 
 SQL = {
+    "p2_found": f"{_DRIFT} select file_id, field_path, change_kind from changed",
+    "p2_casts": f"""{_DRIFT},
+per_record as (select distinct rec_id, field_path, spelling, kind from (
+  select w.rec_id, w.path as field_path, w.spelling, case w.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end as kind
+  from walk w where not w.element)),
+folded as (select field_path, coalesce(list_sort(list(distinct kind) filter (kind is not null)), []) as json_types, list_sort(list(distinct spelling)) as spellings, count(*) as records from per_record group by 1)
+select field_path, json_types, spellings, records, case when json_types = ['number'] then 'double' when json_types = ['boolean'] then 'boolean' else 'string' end as column_type from folded""",
     "p3_found": """
 with r as (select rec_id, cast(record as json) as j from nested_records),
 shaped as (select rec_id, j, json_extract(j, '$.message.content') as c, json_extract(j, '$.toolUseResult') as u from r),
@@ -113,14 +163,14 @@ where json_type(j, '$.type') = 'VARCHAR' and j ->> '$.type' = 'tool_use' and coa
 """,
     "p4_found": f"{P4_ORPHANS} select ref_table, ref_column, ref_key from lost",
     "p4_report": f"""{P4_ORPHANS}
-select ref_table, ref_column, cast(date_trunc('month', at at time zone 'UTC') as timestamp) as month, count(*) as orphans, count(distinct (coalesce(session_key, chr(1)), id)) as missing_keys
+select ref_table, ref_column, cast(date_trunc('month', seen at time zone 'UTC') as timestamp) as month, count(*) as orphans, count(distinct (coalesce(session_key, chr(1)), id)) as missing_keys
 from lost group by 1, 2, 3""",
     "p5_found": f"""
 with lines as (select *, lower(trim(line_format)) as f from raw_lines where {filled('raw_text')}),
 j as (select raw_id, raw_text as t, {_JSON_BAD} as broken from lines where f = 'jsonl'),
-jv as (select raw_id, broken, case when not broken then cast(t as json) end as v from j),
+jv as (select raw_id, broken, case when not broken then try_cast(t as json) end as v from j),
 c as (select raw_id, raw_text as t, regexp_full_match(raw_text, '(?s){_CSV_FIELD}(,{_CSV_FIELD})*') as ok from lines where f = 'csv' and line_no is distinct from 0),
-cells as (select raw_id, ok, list_transform(regexp_extract_all(',' || t, '(?s),{_CSV_FIELD}', 1), x -> case when x like '"%' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) as v from c)
+cells as (select raw_id, ok, list_transform(regexp_extract_all(',' || t, '(?s),{_CSV_FIELD}', 1), lambda x: case when x like '"%' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) as v from c)
 select raw_id, 'syntax' as reason from jv where broken
 union all select raw_id, 'not_object' from jv where not broken and json_type(v) <> 'OBJECT'
 union all select raw_id, 'invalid_value' from jv where not broken and json_type(v) = 'OBJECT' and (
