@@ -1,0 +1,38 @@
+"""Redaction and shortening of evidence."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from castellan.rules.catalog import EVIDENCE_WIDTH, REDACTIONS, java
+
+
+def redact(c: Column) -> Column:
+    """Live-looking credentials replaced by a label, one kind after the other."""
+    for label, pattern in REDACTIONS:
+        grouped = re.compile(pattern).groups
+        c = F.regexp_replace(c, java(pattern, ignore_case=False), f"$1<redacted:{label}>$3" if grouped else f"<redacted:{label}>")
+    return c
+
+
+def escaped(c: Column) -> Column:
+    """C0 and C1 controls and DEL in a visible form."""
+    control = r"[\x00-\x1f\x7f-\x9f]"
+    code = lambda ch: F.lower(F.lpad(F.hex(F.ascii(ch)), 2, "0"))
+    each = F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(control), F.concat(F.lit("\\x"), code(ch))).otherwise(ch))
+    return F.when(c.rlike(control), F.array_join(each, "")).otherwise(c)
+
+
+def shorten(c: Column, width: int = EVIDENCE_WIDTH) -> Column:
+    """One line without runs of white space, controls escaped, at most ``width`` characters."""
+    white = r"(?U)[\s\x1c-\x1f]+"
+    line = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), white, " "))
+    line = escaped(line)
+    return F.when(F.length(line) > width, F.concat(F.left(line, F.lit(width - 3)), F.lit("..."))).otherwise(line)
+
+
+def evidence(c: Column) -> Column:
+    return shorten(redact(c))
