@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castellan.rules.catalog import EVIDENCE_WIDTH, REDACTIONS, java
@@ -18,21 +18,23 @@ def redact(c: Column) -> Column:
     return c
 
 
+_CONTROL = r"[\x00-\x1f\x7f-\x9f]"
+
+
 def escaped(c: Column) -> Column:
     """C0 and C1 controls and DEL in a visible form."""
-    control = r"[\x00-\x1f\x7f-\x9f]"
     code = lambda ch: F.lower(F.lpad(F.hex(F.ascii(ch)), 2, "0"))
-    each = F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(control), F.concat(F.lit("\\x"), code(ch))).otherwise(ch))
-    return F.when(c.rlike(control), F.array_join(each, "")).otherwise(c)
+    each = F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(_CONTROL), F.concat(F.lit("\\x"), code(ch))).otherwise(ch))
+    return F.when(c.rlike(_CONTROL), F.array_join(each, "")).otherwise(c)
 
 
-def shorten(c: Column, width: int = EVIDENCE_WIDTH) -> Column:
-    """One line without runs of white space, controls escaped, at most ``width`` characters."""
-    white = r"(?U)[\s\x1c-\x1f]+"
-    line = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), white, " "))
-    line = escaped(line)
-    return F.when(F.length(line) > width, F.concat(F.left(line, F.lit(width - 3)), F.lit("..."))).otherwise(line)
+def with_evidence(df: DataFrame, name: str = "evidence", width: int = EVIDENCE_WIDTH) -> DataFrame:
+    """Column ``name`` redacted, then on one line without runs of white space, controls
+    escaped, at most ``width`` characters; null becomes empty.
 
-
-def evidence(c: Column) -> Column:
-    return shorten(redact(c))
+    One projection per step, so that each is evaluated once.
+    """
+    white = r"(?U)[\s\x1c-\x1f]+"
+    df = df.withColumn(name, F.trim(F.regexp_replace(redact(F.coalesce(F.col(name), F.lit(""))), white, " ")))
+    df = df.withColumn(name, escaped(F.col(name)))
+    return df.withColumn(name, F.when(F.length(name) > width, F.concat(F.left(name, F.lit(width - 3)), F.lit("..."))).otherwise(F.col(name)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from castellan.functions.binding import let
 from castellan.rules.catalog import DEVICES, NO_HOME, SCRATCH, SENSITIVE
 
 
@@ -23,8 +24,9 @@ def normal(p: Column) -> Column:
 def resolved(raw: Column, cwd: Column, home: Column) -> Column:
     """Absolute normal path; null for an empty one and for a relative one without a cwd."""
     full = F.when(raw == "~", home).when(raw.startswith("~/"), F.concat(home, F.substr(raw, F.lit(2)))).otherwise(raw)
-    joined = F.when(full.startswith("/"), full).when(cwd != "", F.concat(cwd, F.when(cwd.endswith("/"), "").otherwise("/"), full))
-    return F.when(raw != "", F.when(joined.startswith("/"), normal(joined)).otherwise(joined))
+    joined = lambda x: F.when(x.startswith("/"), x).when(cwd != "", F.concat(cwd, F.when(cwd.endswith("/"), "").otherwise("/"), x))
+    ready = lambda x: F.when(x.startswith("/"), normal(x)).otherwise(x)
+    return let(F.when(raw != "", full), lambda x: let(joined(x), ready))
 
 
 def under(p: Column, root: Column) -> Column:

@@ -16,13 +16,9 @@ def tool_kind(c):
     return out.otherwise("other")
 
 
-def first_string(json_column, *names: str):
-    """First of the fields that is a string with characters, else ''.
-
-    Fields are read through a map of raw JSON texts, so numbers and objects don't pass for
-    strings.
-    """
-    v = F.try_parse_json(json_column)
+def first_string(v, *names: str):
+    """First field of a variant that is a string with characters, else ''; numbers and
+    objects don't pass for strings."""
     picks = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")) == "STRING", F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit(""))) for n in names]
     return F.coalesce(*picks, F.lit(""))
 
@@ -61,9 +57,9 @@ def homes(events: DataFrame) -> DataFrame:
     a call; sessions without either are left out."""
     home = lambda c: F.nullif(F.regexp_extract(c, C.HOME, 1), F.lit(""))
     cwds = events.where("kind = 'event' and cwd is not null").groupBy("session_key", "cwd").agg((-F.count(F.lit(1))).cast("long").alias("a"), F.min("event_index").cast("long").alias("b"))
-    v = F.try_parse_json("input_json")
-    fields = F.array(*(F.try_variant_get(v, f"$.{n}", "string") for n in C.PATH_FIELDS))
-    named = events.where("kind = 'call'").select("session_key", F.col("event_index").cast("long").alias("a"), F.col("block").cast("long").alias("b"), F.posexplode(fields).alias("c", "path"))
+    parsed = events.where("kind = 'call'").withColumn("_v", F.try_parse_json("input_json"))
+    fields = F.array(*(F.try_variant_get("_v", f"$.{n}", "string") for n in C.PATH_FIELDS))
+    named = parsed.select("session_key", F.col("event_index").cast("long").alias("a"), F.col("block").cast("long").alias("b"), F.posexplode(fields).alias("c", "path"))
     found = (
         cwds.select("session_key", F.lit(0).alias("tier"), "a", "b", F.lit(0).alias("c"), home(F.col("cwd")).alias("home"))
         .unionByName(named.select("session_key", F.lit(1).alias("tier"), "a", "b", "c", home(F.col("path")).alias("home")))

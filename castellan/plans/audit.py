@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castellan.functions.evidence import with_evidence
 from castellan.operators import grading, sessions
 from castellan.operators.tables import cut
 from castellan.rules import shell, simple
@@ -33,10 +34,11 @@ def audit_events(events: DataFrame, project_root: str | None = None, rules: Iter
     checkpoint.
     """
     per_session = sessions.sessions(events, project_root)
-    calls = prepared_calls(sessions.calls(events), per_session)
+    # six rules read the calls: lexers and the join with the session run once
+    calls = cut(prepared_calls(sessions.calls(events), per_session))
     answers = sessions.results(events)
     found = reduce(DataFrame.unionByName, (rule(calls, answers, per_session) for rule in (RULES if rules is None else rules)))
-    collapsed = grading.collapse(found)
+    collapsed = grading.collapse(with_evidence(found))
     counts = grading.severity_counts(collapsed)
     names = [f"n_{n}" for n in SEVERITIES]
     graded = grading.grades(per_session.join(counts, "session_key", "left").fillna(0, names))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castellan.functions import lexers
-from castellan.functions.evidence import evidence
 from castellan.operators.sessions import first_string
 from castellan.rules import catalog as C
 
@@ -27,7 +26,7 @@ def hit(when: Column, tag: Column | str, severity: Column | int, title: Column |
 
 def findings(rows: DataFrame, rule_id: str, hits: Column) -> DataFrame:
     """Explodes an array of hits (nulls are none); of equal tags in one event the first
-    counts.  ``emit`` orders findings as they were found."""
+    counts.  ``emit`` orders findings as they were found.  Evidence is still raw."""
     number = int(rule_id[-1])
     found = F.posexplode(F.filter(hits, lambda x: x.isNotNull()))
     flat = rows.select("session_key", "event_index", "block", "tool_name", found.alias("_pos", "_hit"))
@@ -37,37 +36,40 @@ def findings(rows: DataFrame, rule_id: str, hits: Column) -> DataFrame:
     h = lambda n: F.col(f"f._hit.{n}")
     return first.select(
         "session_key", F.lit(rule_id).alias("rule_id"), F.lit(C.RULES[rule_id][0]).alias("category"), h("severity").alias("severity"), h("title").alias("title"), h("detail").alias("detail"),
-        evidence(h("evidence")).alias("evidence"), "event_index", F.col("f.tool_name").alias("tool_name"), h("remediation").alias("remediation"), F.col("f.emit").alias("emit"),
+        h("evidence").alias("evidence"), "event_index", F.col("f.tool_name").alias("tool_name"), h("remediation").alias("remediation"), F.col("f.emit").alias("emit"),
     )
 
 
 def prepared_calls(calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """Calls with what rules read of them: command with and without heredoc bodies, path,
     URL, MCP parts, and the root and home of their session."""
-    kind = F.col("tool_kind")
-    bash = F.when(kind == "bash", first_string(F.col("input_json"), "command")).otherwise("")
-    blanked = F.regexp_replace("cmd_raw", C.java("(?s)" + C.HEREDOC, False), "$1 $2$3$2\n<heredoc body omitted>\n$3")
-    mcp = lexers.mcp_parts(F.when(kind == "mcp", F.col("input_json")))
     # mcp paths may be of Windows; files were rewritten when the call was read
     from castellan.sources.transcripts import posix_path_column
 
-    return (
+    kind, v = F.col("tool_kind"), F.col("_v")
+    none = F.array().cast("array<string>")
+    # one projection per step: the input is parsed once, not once per field
+    staged = (
         calls.join(sessions.select("session_key", "project_root", "home"), "session_key")
-        .withColumn("cmd_raw", bash)
-        .withColumn("_mcp", mcp)
+        .withColumn("_v", F.try_parse_json("input_json"))
+        .withColumn("_mcp", lexers.mcp_parts(F.when(kind == "mcp", F.col("input_json"))))
         .withColumns(
             {
-                "cmd": F.when(F.instr("cmd_raw", "<<") > 0, blanked).otherwise(F.col("cmd_raw")),
-                "file": F.when(kind.isin("read", "write", "edit"), first_string(F.col("input_json"), *C.PATH_FIELDS)).otherwise(""),
-                "mcp_paths": F.transform("_mcp.paths", posix_path_column),
+                "cmd_raw": F.when(kind == "bash", first_string(v, "command")).otherwise(""),
+                "file": F.when(kind.isin("read", "write", "edit"), first_string(v, *C.PATH_FIELDS)).otherwise(""),
+                "_url": F.when(kind == "web", first_string(v, "url", "query")).otherwise(""),
+                "mcp_paths": F.coalesce(F.transform("_mcp.paths", posix_path_column), none),
                 "mcp_cmd": F.coalesce("_mcp.command", F.lit("")),
-                "egress": F.when(kind == "bash", F.col("cmd_raw"))
-                .when(kind == "web", F.coalesce(F.nullif(first_string(F.col("input_json"), "url"), F.lit("")), first_string(F.col("input_json"), "query")))
-                .when(kind == "mcp", F.coalesce("_mcp.flat", F.lit(""))).otherwise(""),
             }
         )
-        .drop("_mcp")
     )
+    blanked = F.regexp_replace("cmd_raw", C.java("(?s)" + C.HEREDOC, False), "$1 $2$3$2\n<heredoc body omitted>\n$3")
+    return staged.withColumns(
+        {
+            "cmd": F.when(F.instr("cmd_raw", "<<") > 0, blanked).otherwise(F.col("cmd_raw")),
+            "egress": F.when(kind == "bash", F.col("cmd_raw")).when(kind == "web", F.col("_url")).when(kind == "mcp", F.coalesce("_mcp.flat", F.lit(""))).otherwise(""),
+        }
+    ).drop("_mcp", "_v", "_url")
 
 
 Rule = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
