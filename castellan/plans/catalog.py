@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castellan.plans import records
+from castellan.plans import audits, records, records_sql
 
-QUERIES = dict(records.QUERIES)
-SQL: dict[str, str] = {}
+QUERIES = audits.QUERIES | records.QUERIES
+SQL: dict[str, str] = audits.SQL | records_sql.SQL
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return records.p4_report(spark, folder)
+    return audits.fleet_summary(spark, folder)
