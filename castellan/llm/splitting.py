@@ -112,17 +112,21 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
     text, piece = big, np.zeros(len(big), np.int64)
     begin, begin_byte, shared = text_token[big], start[big], np.zeros(len(big), np.int64)
     limit = cap.copy()
+    # where the piece before ended: the next one must reach beyond it
+    floor, floor_byte = begin.copy(), begin_byte.copy()
     while len(text):
         end = text_token[text + 1]
         final = end - begin <= limit
         least = begin + np.maximum(np.minimum(lap + 1, limit), np.ceil(limit * LEAST_FILL).astype(np.int64))
         hi = np.searchsorted(cut_token, begin + limit, "right") - 1
-        lo = np.searchsorted(cut_token, least, "left")
+        lo = np.searchsorted(cut_token, np.maximum(least, floor + 1), "left")
         # a window without a character border: the last border before it, or the next behind
         none = lo > hi
-        progress = np.searchsorted(cut_token, begin + np.minimum(lap, limit - 1), "right")
-        lo = np.where(none, np.minimum(progress, hi), lo)
+        progress = np.searchsorted(cut_token, np.maximum(begin + np.minimum(lap, limit - 1), floor), "right")
+        lo = np.where(none, np.where(progress <= hi, progress, np.maximum(hi, 0)), lo)
         stuck = lo > hi
+        # the overlap leaves no room for a new cut: this piece goes without one
+        afresh = (stuck | (cut_token[np.minimum(lo, n - 1)] <= floor)) & (begin < floor) & ~final
         bare = np.searchsorted(cut_token, begin, "right")
         lo = np.where(cut_token[np.minimum(lo, n - 1)] <= begin, bare, lo)
         hi = np.maximum(np.where(stuck, bare, hi), lo)
@@ -130,22 +134,24 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
         stop = np.where(final, end, cut_token[best])
         stop_byte = np.where(final, start[text + 1], cut_byte[best])
         excess = oversize(enc, data, begin_byte, stop_byte, cap)
-        again = (excess > 0) & (limit > 1) & (stop - begin > 1)
+        again = (excess > 0) & (limit > 1) & (stop - begin > 1) & ~afresh
         limit = np.where(again, np.minimum(limit, stop - begin) - np.maximum(excess, 1), cap).clip(1)
-        if (~again).any():
-            keep = ~again
+        keep = ~again & ~afresh
+        if keep.any():
             done.append((text[keep], piece[keep], begin_byte[keep], stop_byte[keep], shared[keep]))
         # the next piece starts the overlap before this cut, on a character border
         next_token, next_byte, kept_in = stop.copy(), stop_byte.copy(), np.zeros(len(stop), np.int64)
-        ask = np.flatnonzero(~again & ~final & (lap > 0))
+        ask = np.flatnonzero(keep & ~final & (lap > 0))
         if len(ask):
             back, kept_in[ask] = overlap_starts(enc, data, cut_token, cut_byte, begin[ask], stop[ask], stop_byte[ask], lap[ask])
             found = back >= 0
             next_token[ask[found]], next_byte[ask[found]] = cut_token[back[found]], cut_byte[back[found]]
-        go = again | ~final
-        shared = np.where(again, shared, kept_in)[go]
+        go = ~keep | ~final
+        shared = np.where(again, shared, np.where(afresh, 0, kept_in))[go]
+        next_token, next_byte = np.where(afresh, floor, next_token), np.where(afresh, floor_byte, next_byte)
+        floor, floor_byte = np.where(keep, stop, floor)[go], np.where(keep, stop_byte, floor_byte)[go]
         begin, begin_byte = np.where(again, begin, next_token)[go], np.where(again, begin_byte, next_byte)[go]
-        piece = np.where(again, piece, piece + 1)[go]
+        piece = np.where(keep, piece + 1, piece)[go]
         text, limit, cap, lap = text[go], limit[go], cap[go], lap[go]
     text, piece, a, b, shared = (np.concatenate(x) for x in zip(*done))
     order = np.lexsort((piece, text))
