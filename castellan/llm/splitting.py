@@ -78,7 +78,7 @@ def strengths(cp: np.ndarray, at: np.ndarray, word_start: np.ndarray) -> np.ndar
 def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarray, overlap: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """Pieces of the texts data[start[i]:start[i + 1]] that have more than most[i] tokens:
     (text, piece number, first byte, end byte, first char, end char, tokens shared with the
-    piece before), each an array."""
+    piece before, tokens), each an array."""
     words = Words(data, start)
     ids, counts = enc.words_ids(words.array())
     if not len(counts):
@@ -133,12 +133,14 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
         best = index.query(lo, hi) % (n + 1)
         stop = np.where(final, end, cut_token[best])
         stop_byte = np.where(final, start[text + 1], cut_byte[best])
-        excess = oversize(enc, data, begin_byte, stop_byte, cap)
+        # cutting inside a word may change its tokens, so each piece is encoded on its own
+        own = piece_sizes(enc, data, begin_byte, stop_byte)
+        excess = own - cap
         again = (excess > 0) & (limit > 1) & (stop - begin > 1) & ~afresh
         limit = np.where(again, np.minimum(limit, stop - begin) - np.maximum(excess, 1), cap).clip(1)
         keep = ~again & ~afresh
         if keep.any():
-            done.append((text[keep], piece[keep], begin_byte[keep], stop_byte[keep], shared[keep]))
+            done.append((text[keep], piece[keep], begin_byte[keep], stop_byte[keep], shared[keep], own[keep]))
         # the next piece starts the overlap before this cut, on a character border
         next_token, next_byte, kept_in = stop.copy(), stop_byte.copy(), np.zeros(len(stop), np.int64)
         ask = np.flatnonzero(keep & ~final & (lap > 0))
@@ -153,11 +155,11 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
         begin, begin_byte = np.where(again, begin, next_token)[go], np.where(again, begin_byte, next_byte)[go]
         piece = np.where(keep, piece + 1, piece)[go]
         text, limit, cap, lap = text[go], limit[go], cap[go], lap[go]
-    text, piece, a, b, shared = (np.concatenate(x) for x in zip(*done))
+    text, piece, a, b, shared, own = (np.concatenate(x) for x in zip(*done))
     order = np.lexsort((piece, text))
-    text, piece, a, b, shared = (x[order] for x in (text, piece, a, b, shared))
+    text, piece, a, b, shared, own = (x[order] for x in (text, piece, a, b, shared, own))
     char = lambda byte: np.searchsorted(words.chars, byte) - np.searchsorted(words.chars, start[text])
-    return [(text, piece, a, b, char(a), char(b), shared)]
+    return [(text, piece, a, b, char(a), char(b), shared, own)]
 
 
 def overlap_starts(enc: Encoder, data: np.ndarray, cut_token: np.ndarray, cut_byte: np.ndarray, begin: np.ndarray, stop: np.ndarray, stop_byte: np.ndarray, lap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +193,6 @@ def piece_sizes(enc: Encoder, data: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return np.diff(np.r_[0, np.cumsum(counts, dtype=np.int64)][words.first])
 
 
-def oversize(enc: Encoder, data: np.ndarray, a: np.ndarray, b: np.ndarray, cap: np.ndarray) -> np.ndarray:
-    """Tokens beyond ``cap`` of each piece: cutting inside a word may change its tokens."""
-    return piece_sizes(enc, data, a, b) - cap
-
-
 def limits_of(chunk_limits: DataFrame) -> dict[str, tuple[int, int]]:
     rows = chunk_limits.where("doc_kind is not null and max_tokens > 0").groupBy("doc_kind").agg(F.min("max_tokens").alias("m"), F.max(F.coalesce("overlap_tokens", F.lit(0))).alias("o")).limit(MAX_KINDS + 1).collect()
     if len(rows) > MAX_KINDS:
@@ -225,7 +222,7 @@ def pieces(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFA
                 row = 0
                 for data, start in slices(b.column(2)):
                     n = len(start) - 1
-                    for text, no, a, e, ca, ce, shared in cut_texts(enc, data, start, most[row : row + n], lap[row : row + n]):
+                    for text, no, a, e, ca, ce, shared, tokens in cut_texts(enc, data, start, most[row : row + n], lap[row : row + n]):
                         size = e - a
                         off = np.r_[0, np.cumsum(size)]
                         own = data[np.repeat(a - off[:-1], size) + np.arange(off[-1])]
@@ -233,7 +230,7 @@ def pieces(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFA
                         yield pa.RecordBatch.from_arrays(
                             [
                                 b.column(0).take(pa.array(text + row)), pa.array(no.astype("int32")), pa.array(ca.astype("int32")), pa.array(ce.astype("int32")),
-                                pa.array(piece_sizes(enc, data, a, e).astype("int32")), pa.array(shared.astype("int32")), texts.cast(pa.string()),
+                                pa.array(tokens.astype("int32")), pa.array(shared.astype("int32")), texts.cast(pa.string()),
                             ],
                             names=["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens", "piece"],
                         )
