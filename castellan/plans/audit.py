@@ -31,14 +31,15 @@ def audit_events(events: DataFrame, project_root: str | None = None, rules: Iter
     """Findings and one graded row per session of typed events.
 
     Events are read several times (sessions, calls, results), so hand in a table or a
-    checkpoint.
+    checkpoint.  Calls and findings are written to the shared folder once.
     """
     per_session = sessions.sessions(events, project_root)
     # six rules read the calls: lexers and the join with the session run once
     calls = cut(prepared_calls(sessions.calls(events), per_session))
     answers = sessions.results(events)
     found = reduce(DataFrame.unionByName, (rule(calls, answers, per_session) for rule in (RULES if rules is None else rules)))
-    collapsed = grading.collapse(with_evidence(found))
+    # findings are few next to events; cut here, what follows plans and runs on them alone
+    collapsed = cut(grading.collapse(with_evidence(cut(found))))
     counts = grading.severity_counts(collapsed)
     names = [f"n_{n}" for n in SEVERITIES]
     graded = grading.grades(per_session.join(counts, "session_key", "left").fillna(0, names))
