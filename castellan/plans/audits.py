@@ -254,3 +254,34 @@ seen as (select r.session_key, r.event_index, coalesce(n.tool, '') as tool_name,
   where lower(trim(coalesce(n.tool, ''))) not in ('write', 'edit', 'multiedit', 'notebookedit'))
 {_first_title('seen', 'body', 'SXR-007', C.INJECTION)}""",
 }
+
+_HOME = "regexp_extract({}, '^(/home/[^/]+|/Users/[^/]+|/c/Users/[^/]+|/root)(/|$)', 1)"
+_HOMES = f"""
+cand as (
+  select session_key, 0 as tier, -n as a, at_ as b, 0 as c, {_HOME.format('cwd')} as home from (select session_key, cwd, count(*) as n, min(event_index) as at_ from e where cwd is not null group by 1, 2)
+  union all
+  select session_key, 1, event_index, 0, k, {_HOME.format('p')} from (
+    select session_key, event_index, unnest([0, 1, 2]) as k, unnest([{', '.join(_FIELD(n) for n in C.PATH_FIELDS)}]) as p from calls)),
+homes as (select session_key, first(home order by tier, a, b, c) as home from cand where home <> '' group by 1)"""
+SQL["home_folders"] = f"{_EVENTS}, {_HOMES} select session_key, home from homes"
+_ATTRIBUTES = SQL["session_counters"].replace("\nselect session_key, event_count, (select", ",\ncounted as (select session_key, event_count, (select", 1).replace("a as (select session_key, count(*)", "a as (select session_key, any_value(sid) as session_id, count(*)", 1)
+SQL["session_attributes"] = (
+    _ATTRIBUTES.replace("first_ts, last_ts from a", "first_ts, last_ts, session_id from a),", 1).replace("e as (select coalesce(src_path, session_key) as session_key,", "e as (select coalesce(src_path, session_key) as session_key, session_key as sid,", 1)
+    + f"""{_HOMES},
+roots as (select session_key, first(cwd order by n desc, at_) as project_root from (select session_key, cwd, count(*) as n, min(event_index) as at_ from e where cwd is not null group by 1, 2) group by 1)
+select c.session_key, event_count, cast(0 as bigint) as skipped_lines, tool_call_count, truncated_results, first_ts, last_ts, coalesce(project_root, '') as project_root, coalesce(home, '{C.NO_HOME}') as home, session_id
+from counted c left join roots r on r.session_key = c.session_key left join homes h on h.session_key = c.session_key"""
+)
+_STEPS = "list_reduce(list_concat([''], list_filter(string_split({0}, '/'), lambda x: x not in ('', '.'))), lambda done, x: case when x = '..' then regexp_replace(done, '/[^/]*$', '') else done || '/' || x end)"
+SQL["path_predicates"] = f"""select result_id, case when file_path like '//%' and file_path not like '///%' then '/' else '' end || coalesce(nullif({_STEPS.format('file_path')}, ''), '/') as path,
+  regexp_matches(file_path, {_q(C.SENSITIVE)}) as sensitive, regexp_matches(file_path, {_q(C.SCRATCH)}) as scratch, file_path in ({', '.join(map(_q, C.DEVICES))}) as device
+from tool_results where file_path like '/%'"""
+_CRON = r"\bcrontab\s+(?:[^\s\-]|-(?:[^l]|$)|-l\w)|/etc/cron\.|/var/spool/cron"
+_PERSIST_TESTS = [(t, " and ".join(_match("cmd", _CRON if "crontab" in r else r) for r in rx)) for t, _, rx in C.PERSIST_COMMANDS]
+_PERSIST_ROWS = " union all ".join(
+    [f"select session_key, event_index, tool_name, {_q(t)} as title, cmd as evidence from cmds where {test}" for t, test in _PERSIST_TESTS]
+    + [f"select session_key, event_index, tool_name, {_q(t)}, path from files where {_match('path', rx)}" for t, _, rx in C.PERSIST_PATHS]
+)
+SQL["rule_persistence"] = f"""{_EVENTS}, {_COMMANDS},
+files as (select *, coalesce({', '.join(f"nullif({_FIELD(n)}, '')" for n in C.PATH_FIELDS)}, '') as path from calls where kind in ('write', 'edit'))
+select distinct session_key, 'SXR-006' as rule_id, 3 as severity, title, {_short(_redact_sql('evidence'))} as evidence, event_index, tool_name from ({_PERSIST_ROWS})"""

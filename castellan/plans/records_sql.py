@@ -184,3 +184,12 @@ union all select raw_id, 'invalid_value' from cells where ok and len(v) = 9 and
   and (v[9] = '' or coalesce({is_datetime_sql('v[9]')}, false)))
 """,
 }
+
+SQL["p5_failures"] = f"""with found as ({SQL['p5_found']}) select raw_id, src_file, line_no, lower(trim(line_format)) as line_format, reason, raw_text, loaded_at from found join raw_lines using (raw_id)"""
+SQL["p5_report"] = f"""with found as ({SQL['p5_found']}) select src_file, lower(trim(line_format)) as line_format, reason, count(*) as failing from found join raw_lines using (raw_id) group by all"""
+SQL["p5_csv_rows"] = f"""
+with found as ({SQL['p5_found']}),
+c as (select raw_id, src_file, line_no, loaded_at, raw_text as t from raw_lines where lower(trim(line_format)) = 'csv' and line_no is distinct from 0 and {filled('raw_text')} and raw_id not in (select raw_id from found)),
+v as (select *, list_transform(regexp_extract_all(',' || t, '(?s),{_CSV_FIELD}', 1), lambda x: case when x like '"%' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) as v from c)
+select raw_id, src_file, line_no, nullif(v[1], '') as session_id, nullif(v[2], '') as src_path, nullif(v[3], '') as project_root, try_cast(v[4] as bigint) as event_count, try_cast(v[5] as bigint) as skipped_lines,
+  try_cast(v[6] as bigint) as tool_call_count, nullif(v[7], '') as grade, try_cast(v[8] as integer) as grade_score, nullif(v[9], '') as first_ts, loaded_at from v"""
