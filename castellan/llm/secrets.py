@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 WORD_SHARE, WORD_ROWS, MAX_WORDS = 2e-4, 5, 50_000
 #: Unexplained characters that make a literal a credential.
 LEAST_STRONG, LEAST_WEAK, LEAST_LENGTH = 3, 12, 6
-#: Texts are scanned whole; a literal longer than this is scored by its first part only.
-SCORED_CHARS = 512
+#: A literal is segmented in blocks of so many characters, until this much is unexplained:
+#: no threshold asks for more.
+BLOCK_CHARS, ENOUGH = 512, 64
 
 # Words that name a credential, and formats of issued tokens.
 _STRONG = r"(?:pass(?:word|wd|phrase|code)|passwd|pwd|(?<![a-z])pw|secret|token|api[_-]?key|access[_-]?key(?![_-]?id)|private[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|authorization|client[_-]?secret|auth[_-]?token|credentials?)"
@@ -42,7 +43,7 @@ _LABELLED_HASH = re.compile(r"(?i)^(?:sha(?:1|224|256|384|512)|md5|crc32)[:-]")
 _URL = re.compile(r"^[a-z][a-z0-9+.-]*://", re.I)
 
 _QUOTED = r"""(?:"(?:[^"\\\r\n]|\\.)*"|'(?:[^'\\\r\n]|\\.)*'|`[^`\r\n]*`)"""
-_JOIN = r"(?:\s*\+\s*|\s*\\?\r?\n\s*|[ \t]+)"
+_JOIN = r"(?=[\s+])\s*+(?:[+\\]\s*+)?"
 #: A value is one or more adjacent string pieces, or a bare word.
 _VALUE = rf"(?P<quoted>{_QUOTED}(?:{_JOIN}{_QUOTED})*)|(?P<open>[\"'`])(?P<cut>[^\"'`\r\n]+)$|(?P<bare>[^\s\"'`,;<>(){{}}\[\]|\\]+)"
 _SCHEME = r"(?:(?:bearer|basic|token|digest)[ \t]+)?"
@@ -62,7 +63,6 @@ CONTEXTS: list[tuple[re.Pattern, bool]] = [
     (_context(rf"(?<![\w-])--?{_STRONG}[ \t]+(?!-)"), False),
     (_context(r"\blogin[ \t]+\S+[ \t]+password[ \t]+"), False),
     (_context(r"\b(?:identified[ \t]+by|password)[ \t]+(?=')"), False),
-    (_context(r"\bmysql\w*\b[^\r\n|;]*?[ \t]-p(?=\S)"), False),
     (_context(rf"{_STRONG}>(?=[^<])"), False),
     # prose: the token for x: v, key is v
     (_context(rf"\b{_STRONG}[ \t]+for[ \t]+\S+?:[ \t]+"), False),
@@ -72,17 +72,25 @@ CONTEXTS: list[tuple[re.Pattern, bool]] = [
     (_context(rf"{_STRONG}[ \t]*\|[ \t]*"), False),
     (_context(r"\bbearer[ \t]+(?=[A-Za-z0-9])"), False),
     (_context(r"\bbasic[ \t]+(?=[A-Za-z0-9+/]{8,}={0,2}(?:[^A-Za-z0-9+/=]|$))"), False),
-    (_context(r"\becho[ \t]+(?:-n[ \t]+)?(?=[\"']?[^\r\n|]*\|[^\r\n]*--password-stdin)"), False),
 ]
 _USERINFO = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<bare>[^\s/\"'`<>]+?)@(?=[\w\[.-])", re.I)
-_USER_FLAG = re.compile(r"\bcurl\b[^\r\n|;]*?[ \t](?:-u|--user)[ \t=]*[\"']?[^\s:\"']+:(?P<bare>[^\s\"']+)", re.I)
-_INSERT = re.compile(r"\binsert[ \t]+into[ \t]+\S+[ \t]*\((?P<columns>[^)]*)\)[ \t]*values[ \t]*\((?P<row>(?:'(?:[^']|'')*'|[^)'])*)\)", re.I)
+#: Contexts within one command: (word of the command, where in it the value is).
+_FLAGS = [
+    (re.compile(r"\bcurl\b", re.I), re.compile(r"[ \t](?:-u|--user)[ \t=]*[\"']?[^\s:\"']+:(?P<bare>[^\s\"']+)", re.I)),
+    (re.compile(r"\bmysql\w*\b", re.I), _context(r"[ \t]-p(?=\S)")),
+]
+_COMMAND = re.compile(r"[^\r\n|;]+")
+_LINE = re.compile(r"[^\r\n]+")
+#: What is printed into a command that reads a password.
+_STDIN = "--password-stdin"
+_ECHO = _context(r"\becho[ \t]+(?:-n[ \t]+)?")
+_INSERT = re.compile(r"\binsert[ \t]+into[ \t]+\S+[ \t]*\((?P<columns>[^()]*)\)[ \t]*values[ \t]*\((?P<row>(?:'(?:[^']|'')*'|[^)'])*)\)", re.I)
 _CELL = re.compile(r"\s*(?:'((?:[^']|'')*)'|([^,']*))\s*(?:,|$)")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|.*)", re.S | re.I)
 _BARE_ISSUED = re.compile(rf"(?<![A-Za-z0-9_/+-])(?:{_ISSUED})(?![A-Za-z0-9_])")
 _STRONG_NAME = re.compile(_STRONG, re.I)
 #: Texts without any of these can't hold a case; one pass spares them the contexts.
-_HINT = re.compile(rf"pass|pwd|pw\b|secret|token|key|auth|cred|bearer|basic|login|identified|mysql|curl|://[^\s/]*@|(?:{_ISSUED})", re.I)
+_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|auth|cred|bearer|basic|login|identified|mysql|curl|://[^\s/]*@|sk_live|rk_live|pk_live|gh[pousr]_|github_pat|glpat-|npm_|xox|akia|aiza|eyj|sk-|private key", re.I)
 _PIECE = re.compile(_QUOTED)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -105,8 +113,17 @@ class Dictionary:
 
     def residual(self, text: str) -> int:
         """Characters, without separators, that the cheapest segmentation leaves to single
-        characters."""
-        text = text[:SCORED_CHARS]
+        characters; any number from ENOUGH on stands for itself or more."""
+        left = at = 0
+        while at < len(text) and left < ENOUGH:
+            end = at + BLOCK_CHARS
+            if end < len(text):  # not within a word, if there is another place
+                end = next((i for i in range(end, at + BLOCK_CHARS // 2, -1) if not text[i - 1].isalnum()), end)
+            left += self._block(text[at:end])
+            at = end
+        return left
+
+    def _block(self, text: str) -> int:
         low, n = text.lower(), len(text)
         best, came = [0.0] + [math.inf] * n, [0] * (n + 1)
         for i in range(n):
@@ -135,7 +152,7 @@ def _usable(value: str, words: Dictionary, weak: bool, bare: bool) -> bool:
         return False
     left = words.residual(value)
     if value.startswith(("/", "~/", "./", "../")):  # a path, unless hardly any of it is words
-        return left >= LEAST_WEAK and left > len(value) // 2
+        return left >= LEAST_WEAK and left > min(len(value) // 2, ENOUGH - 1)
     mixed = any(not c.isalpha() for c in value) or any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
     # words with a capital, a sign and any digit are a password; plain names with a digit aren't
     password = bool(re.search("[A-Z]", value) and re.search("[a-z]", value) and re.search("[0-9]", value) and re.search("[^A-Za-z0-9]", value))
@@ -178,8 +195,16 @@ def find(text: str, words: Dictionary) -> list[Case]:
 
     for m in _USERINFO.finditer(text) if "://" in text else ():
         add(m["bare"], [m.span("bare")], False, True, "url_password")
-    for m in _USER_FLAG.finditer(text) if "curl" in low else ():
-        add(m["bare"], [m.span("bare")], False, True, "user_password")
+    for c in _COMMAND.finditer(text) if "curl" in low or "mysql" in low else ():
+        for word, place in _FLAGS:
+            if (w := word.search(text, c.start(), c.end())) is not None:
+                for m in place.finditer(text, w.end(), c.end()):
+                    add(*_value(m)[:2], False, True, "flag")
+    for line in _LINE.finditer(text) if _STDIN in low else ():
+        end = low.rfind("|", line.start(), max(line.start(), low.rfind(_STDIN, line.start(), line.end())))
+        for m in _ECHO.finditer(text, line.start(), max(line.start(), end)):
+            value, spans, bare = _value(m)
+            add(value, spans, False, bare, "printed")
     for m in _INSERT.finditer(text) if "insert" in low else ():
         names = [c.strip() for c in m["columns"].split(",")]
         for name, cell in zip(names, _CELL.finditer(m["row"])):

@@ -52,3 +52,15 @@ def test_tables(spark):
     assert sorted((r.src_table, r.field_name, r.row_key, r.start_pos) for r in secrets.cases(texts).collect()) == [("findings", "evidence", 5, 7), ("tool_results", "stdout_text", 1, 9), ("tool_results", "stdout_text", 1, 29)]
     assert sorted(r.n_credentials for r in secrets.redacted(texts).collect()) == [0, 0, 0, 1, 2]
     assert secrets.cases(texts.limit(0)).count() == 0
+
+
+def test_long_literals_and_texts():
+    import time
+
+    plain = "queue-" * 400
+    assert secrets.find(f"password={plain}", WORDS) == []
+    assert [c.start for c in secrets.find(f"password={plain}x9Kq2Lw8Zt", WORDS)] == [9]
+    for text in ("password=" * 50_000, "echo x " * 50_000, "://a:" * 50_000, "token: 'x' " * 30_000, "-----BEGIN PRIVATE KEY-----\n" + "A" * 500_000, "mysql " * 50_000, "curl -u " * 40_000, "eyJ" * 100_000, "insert into x (" * 30_000, "token: \"x\"" + "\n" * 200_000, "key is " * 40_000, "token for " * 40_000):
+        began = time.time()
+        secrets.find(text, WORDS)
+        assert time.time() - began < 5, text[:20]
