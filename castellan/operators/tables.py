@@ -11,7 +11,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if not where and not sc.master.startswith("local["):
+    if not where and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="castellan-"))
