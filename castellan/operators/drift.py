@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -193,8 +192,8 @@ def consistent_table(records: DataFrame, aliases: dict[str, str], plan: list[tup
     (path, column type).
 
     Paths below an array give the JSON text of the list of their values.  A null or
-    unparsable record gives a row of nulls.  Record columns are named by path, so they
-    can't clash with the key columns, which keep a leading underscore free form.
+    unparsable record gives a row of nulls.  A record column is named by its path with
+    ``__`` between names; one that clashes with a key column gets ``__`` behind it.
     """
     if len(plan) > MAX_COLUMNS:
         raise ValueError(f"{len(plan)} field paths; at most {MAX_COLUMNS} columns")
@@ -221,13 +220,15 @@ def consistent_table(records: DataFrame, aliases: dict[str, str], plan: list[tup
     keys = ["rec_id", "file_id", "stream_name", "file_name", "file_time", "arrived_at"]
     source = records.select(*keys, "record")
     schema = ", ".join([*(f"{n} {t}" for n, t in source.select(*keys).dtypes), *(f"c{i} string" for i in range(len(wanted)))])
-    typed = [F.expr(f"try_cast(c{i} as {kind})").alias(p.replace(".", "__")) for i, (p, kind) in enumerate(plan)]
+    name = lambda p: p.replace(".", "__") + ("__" if p.replace(".", "__") in keys else "")
+    typed = [F.expr(f"try_cast(c{i} as {kind})").alias(name(p)) for i, (p, kind) in enumerate(plan)]
     return source.mapInArrow(flat, schema).select(*keys, *typed)
 
 
 def table_plan(found: DataFrame) -> list[tuple[str, str]]:
-    """(path, column type) of every path without sub-paths, in order; bounded by MAX_COLUMNS."""
-    rows = found.select("field_path", "column_type").orderBy("field_path").limit(MAX_COLUMNS + 1).collect()
+    """(path, column type) of every path that holds values of its own: those without
+    sub-paths, and those that are an object or list in some records but a plain value in
+    others.  In order; bounded by MAX_COLUMNS."""
+    rows = found.select("field_path", "column_type", "json_types").orderBy("field_path").limit(MAX_COLUMNS + 1).collect()
     parents = {r.field_path.rpartition(".")[0] for r in rows}
-    listed = chain(((r.field_path, r.column_type) for r in rows if r.field_path not in parents), ((r.field_path, "string") for r in rows if r.field_path in parents and r.field_path.startswith("_")))
-    return sorted(listed)
+    return [(r.field_path, r.column_type) for r in rows if r.field_path not in parents or {"string", "number", "boolean"} & set(r.json_types)]

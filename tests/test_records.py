@@ -52,6 +52,14 @@ def test_consistent_table(spark):
     assert got == {0: (1.0, "x", '[1, "b"]'), 1: (2.5, "true", None), 2: (None, None, None)}
 
 
+def test_values_beside_sub_fields_stay(spark):
+    rows = drift_rows(spark, [("s", 1, 0, [{"cwd": "/a", "file_id": 1}, {"cwd": {"value": "/b"}}, {"cwd": 3}])])
+    plan = drift.table_plan(drift.casts(drift.field_sightings(rows, {"fileid": "file_id"})))
+    assert plan == [("cwd", "string"), ("cwd.value", "string"), ("file_id", "double")]
+    table = drift.consistent_table(rows, {"fileid": "file_id"}, plan)
+    assert {r.rec_id: (r.cwd, r.cwd__value, r.file_id__) for r in table.collect()} == {0: ("/a", None, 1.0), 1: ('{"value": "/b"}', "/b", None), 2: ("3", None, None)}
+
+
 def test_nested_nodes_and_links(spark):
     record = {
         "type": "user",
