@@ -4,7 +4,7 @@ Literals are taken from assignment contexts (names, flags, headers, URLs, SQL, p
 segmented into dictionary words by Viterbi.  What the words leave unexplained is the
 residual: a long one in such a context is a credential; in a weak context it must be
 longer.  Placeholders, look-ups, masked values and labelled hashes are none.  The
-dictionary is counted over all texts.
+dictionary is counted over all distinct texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word counts if at least this share of the texts, and this many, have it; only so many
+#: A word counts if at least this share of the distinct texts, and this many, have it; only so many
 #: of the most frequent words are kept, which bounds what the workers are sent.
 WORD_SHARE, WORD_ROWS, MAX_WORDS = 2e-4, 5, 50_000
 #: Unexplained characters that make a literal a credential.
@@ -255,14 +255,19 @@ def texts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def learn_words(all_texts: DataFrame) -> dict[str, int]:
-    """Words of all texts with the number of texts that have them.
+    """Words of all texts with the number of distinct texts that have them.
 
-    Counting is pre-aggregated per task; only the MAX_WORDS most frequent reach the driver.
+    Copies of a text count once, else they would make the letters of its own credentials a
+    word.  Only the words of a text travel, under its digest, and each task sends a text
+    once; only the MAX_WORDS most frequent words reach the driver.
     """
-    n = all_texts.count()
+    digest = F.unhex(F.md5("text"))
+    n = all_texts.select(digest.alias("digest")).distinct().count()
     tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0), lambda w: F.lower(w)))
     least = max(WORD_ROWS, math.ceil(n * WORD_SHARE))
-    counted = all_texts.select(F.explode(tokens).alias("word")).where(F.length("word").between(4, 24)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    own = all_texts.select(digest.alias("digest"), F.filter(tokens, lambda w: F.length(w).between(4, 24)).alias("words"))
+    once = own.where(F.size("words") > 0).groupBy("digest").agg(F.first("words").alias("words"))
+    counted = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
     return {r.word: r.n for r in rows}
 

@@ -64,3 +64,13 @@ def test_long_literals_and_texts():
         began = time.time()
         secrets.find(text, WORDS)
         assert time.time() - began < 5, text[:20]
+
+
+def test_copies_of_a_text_teach_no_words(spark):
+    others = [f"fetch the widget queue {i}" for i in range(20)]
+    rows = [("t", "f", i, x) for i, x in enumerate(others + ["password=Kwzwux77"] * 10)]
+    schema = "src_table string, field_name string, row_key long, text string"
+    texts = spark.createDataFrame(rows, schema).repartition(4)
+    assert secrets.learn_words(texts) == secrets.learn_words(texts.dropDuplicates(["text"])) == {w: 20 for w in ("fetch", "queue", "widget")}
+    assert sorted(r.row_key for r in secrets.cases(texts).collect()) == list(range(20, 30))
+    assert sum(r.n_credentials for r in secrets.redacted(texts).collect()) == 10
