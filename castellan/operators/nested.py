@@ -118,6 +118,11 @@ def _field(name: str, kind: str = "string"):
     return F.get_json_object("value", f"$.{name}").cast(kind)
 
 
+def _spelled(*names: str):
+    """The first of the fields that isn't empty, else the first that is there."""
+    return F.coalesce(*(F.nullif(_field(n), F.lit("")) for n in names), *(_field(n) for n in names))
+
+
 def record_table(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'record'").select("rec_id", "pre", "post", F.col("node_type").alias("record_type"), _field("cwd").alias("cwd"), _field("sessionId").alias("session_id"), _field("timestamp").alias("ts_text"))
 
@@ -126,7 +131,7 @@ def block_table(nodes: DataFrame) -> DataFrame:
     plain = ~F.col("value").startswith("{")
     return nodes.where("kind = 'block'").select(
         "rec_id", "pre", "post", "parent_pre", "node_path", "ordinal", F.col("node_type").alias("block_type"), "link_key",
-        _field("name").alias("tool_name"), _field("input").alias("tool_input"), F.when(plain, F.col("value")).otherwise(_field("text")).alias("text"),
+        _spelled("name", "tool", "tool_name").alias("tool_name"), _spelled("input", "parameters", "params").alias("tool_input"), F.when(plain, F.col("value")).otherwise(_field("text")).alias("text"),
     )
 
 

@@ -83,6 +83,17 @@ def test_nested_nodes_and_links(spark):
     assert (hunk.old_start, hunk.file_path, json.loads(hunk.lines)) == (1, "/f", ["a"])
 
 
+def test_every_spelling_of_a_call_is_in_the_block_table(spark):
+    given = {"command": "ls", "n": 1}
+    spelled = [("name", "input"), ("tool", "params"), ("tool_name", "parameters"), ("tool", "input")]
+    calls = [{"type": "tool_use", "id": f"c{i}", a: "Bash", b: given} for i, (a, b) in enumerate(spelled)]
+    odd = [{"type": "tool_use", "name": "", "tool": "Read", "input": None, "params": {}}, {"type": "tool_use", "name": "Bare"}, "text"]
+    rows = [(i, json.dumps(c)) for i, c in enumerate(calls)] + [(9, json.dumps({"message": {"content": calls + odd}}))]
+    table = nested.block_table(nested.node_table(spark.createDataFrame(rows, "rec_id long, record string")))
+    got = {(r.rec_id, r.node_path): (r.tool_name, r.tool_input and json.loads(r.tool_input)) for r in table.collect()}
+    assert got == {(i, "self"): ("Bash", given) for i in range(4)} | {(9, f"content.{i}"): ("Bash", given) for i in range(4)} | {(9, "content.4"): ("Read", {}), (9, "content.5"): ("Bare", None), (9, "content.6"): (None, None)}
+
+
 def test_orphans(spark):
     call = lambda i, **k: {"session_id": "S", "src_path": "/f.jsonl", "line_no": i, "msg_role": "model", "tool_name": "Bash"} | k
     at = lambda d: dt.datetime(2025, 1, d)
