@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODES = "rec_id long, pre int, post int, parent_pre int, parent_path string, kind string, node_path string, ordinal int, node_type string, link_key string, value string"
+NODES = "rec_id long, pre int, post int, parent_pre int, parent_path string, kind string, node_path string, ordinal int, node_type string, link_key string, value string, result_form string"
 
 
 def _text(x: object) -> str:
@@ -31,11 +31,26 @@ def _kind(x: object) -> str | None:
     return None
 
 
+_FORMS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}
+
+
+def _without_nodes(record: dict) -> dict:
+    """``record`` without the contents that become nodes of their own."""
+    message, result = record.get("message"), record.get("toolUseResult")
+    out = dict(record)
+    if isinstance(message, dict) and isinstance(message.get("content"), (str, list)):
+        out["message"] = {k: v for k, v in message.items() if k != "content"}
+    if isinstance(result, dict) and isinstance(result.get("structuredPatch"), list):
+        out["toolUseResult"] = {k: v for k, v in result.items() if k != "structuredPatch"}
+    return out
+
+
 def walk(record: object) -> list[dict]:
     """Labelled nodes of one parsed record, in pre-order; the record itself is the first.
 
     Anything that is no object gives no nodes.  Elements that are neither objects nor
-    strings are no nodes but keep their place in the numbering of paths.
+    strings are no nodes but keep their place in the numbering of paths.  The record's own
+    node has ``result_form``, the JSON type of its toolUseResult (null for none).
     """
     if not isinstance(record, dict):
         return []
@@ -54,8 +69,9 @@ def walk(record: object) -> list[dict]:
         node["post"] = clock
         clock += 1
 
-    root = enter("record", "", None, _text(record.get("type")), "", {k: v for k, v in record.items() if k not in ("message", "toolUseResult")})
+    root = enter("record", "", None, _text(record.get("type")), "", _without_nodes(record))
     message, result = record.get("message"), record.get("toolUseResult")
+    root["result_form"] = _FORMS.get(type(result))
     if message is None and record.get("type") == "tool_use":
         leave(enter("block", "self", None, "tool_use", _text(record.get("id")), record))
     content = message.get("content") if isinstance(message, dict) else None
@@ -106,10 +122,12 @@ def node_table(records: DataFrame) -> DataFrame:
                     continue
                 link(nodes)
                 for n in nodes:
-                    n["rec_id"], n["value"] = rec_id, n["value"] if isinstance(n["value"], str) else json.dumps(n["value"], ensure_ascii=False)
+                    value = n["value"] if isinstance(n["value"], str) else json.dumps(n["value"], ensure_ascii=False)
+                    # lone surrogates can't be stored as UTF-8
+                    n["rec_id"], n["value"] = rec_id, value.encode("utf-8", "replace").decode()
                 rows.extend(nodes)
             kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t.split()[1]]) for k, t in zip(names, NODES.split(", "))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], kinds[t.split()[1]]) for k, t in zip(names, NODES.split(", "))], names=names)
 
     return records.select("rec_id", "record").mapInArrow(label, NODES)
 
@@ -123,8 +141,26 @@ def _spelled(*names: str):
     return F.coalesce(*(F.nullif(_field(n), F.lit("")) for n in names), *(_field(n) for n in names))
 
 
+#: Fields of a toolUseResult object beside its hunks: (name, column, type).
+RESULT_FIELDS = (
+    ("type", "result_type", "string"), ("filePath", "result_file_path", "string"), ("content", "result_content", "string"), ("originalFile", "original_file", "string"), ("userModified", "user_modified", "boolean"),
+    ("stdout", "stdout", "string"), ("stderr", "stderr", "string"), ("interrupted", "interrupted", "boolean"), ("isImage", "is_image", "boolean"), ("noOutputExpected", "no_output_expected", "boolean"),
+)
+
+
 def record_table(nodes: DataFrame) -> DataFrame:
-    return nodes.where("kind = 'record'").select("rec_id", "pre", "post", F.col("node_type").alias("record_type"), _field("cwd").alias("cwd"), _field("sessionId").alias("session_id"), _field("timestamp").alias("ts_text"))
+    """One row per record with its message's own fields and its toolUseResult.
+
+    ``result_form`` is the JSON type of the toolUseResult; one that is no object is
+    ``result_text`` (a string as it is, else its JSON), an object fills the columns of
+    RESULT_FIELDS.
+    """
+    form = F.col("result_form")
+    return nodes.where("kind = 'record'").select(
+        "rec_id", "pre", "post", F.col("node_type").alias("record_type"), _field("cwd").alias("cwd"), _field("sessionId").alias("session_id"), _field("timestamp").alias("ts_text"),
+        _field("message.role").alias("message_role"), _field("message.model").alias("message_model"), "result_form", F.when(form != "object", _field("toolUseResult")).alias("result_text"),
+        *(F.when(form == "object", F.get_json_object("value", f"$.toolUseResult.{n}").try_cast(t)).alias(a) for n, a, t in RESULT_FIELDS),
+    )
 
 
 def block_table(nodes: DataFrame) -> DataFrame:

@@ -94,6 +94,23 @@ def test_every_spelling_of_a_call_is_in_the_block_table(spark):
     assert got == {(i, "self"): ("Bash", given) for i in range(4)} | {(9, f"content.{i}"): ("Bash", given) for i in range(4)} | {(9, "content.4"): ("Read", {}), (9, "content.5"): ("Bare", None), (9, "content.6"): (None, None)}
 
 
+def test_record_table_has_the_message_and_the_result(spark):
+    bash = {"stdout": "é\nout \ud800", "stderr": "", "interrupted": True, "isImage": False, "noOutputExpected": False}
+    write = {"type": "update", "filePath": "/f", "content": "new", "originalFile": "old", "userModified": False, "structuredPatch": None}
+    hunks = {"filePath": "/g", "userModified": "x", "structuredPatch": [{"oldStart": 1}]}
+    results = [bash, write, hunks, "plain {", [], ["a", 1], {}, None, 5]
+    rows = [(i, json.dumps({"type": "user", "cwd": "/w", "message": {"role": "user", "model": "m", "content": "hi"}, "toolUseResult": r})) for i, r in enumerate(results)]
+    rows.append((9, json.dumps({"type": "tool_use", "name": "Bash", "input": {}})))
+    table = nested.record_table(nested.node_table(spark.createDataFrame(rows, "rec_id long, record string")))
+    got = {r.rec_id: r for r in table.collect()}
+    assert [(got[i].message_role, got[i].message_model, got[i].cwd) for i in (0, 3, 9)] == [("user", "m", "/w"), ("user", "m", "/w"), (None, None, None)]
+    assert [got[i].result_form for i in range(10)] == ["object"] * 3 + ["string", "array", "array", "object", None, "number", None]
+    assert [got[i].result_text for i in range(10)] == [None] * 3 + ["plain {", "[]", '["a",1]', None, None, "5", None]
+    assert (got[0].stdout, got[0].stderr, got[0].interrupted, got[0].is_image, got[0].no_output_expected) == ("é\nout ?", "", True, False, False)
+    assert (got[1].result_type, got[1].result_file_path, got[1].result_content, got[1].original_file, got[1].user_modified) == ("update", "/f", "new", "old", False)
+    assert (got[2].result_file_path, got[2].user_modified, got[6].stdout) == ("/g", None, None)
+
+
 def test_orphans(spark):
     call = lambda i, **k: {"session_id": "S", "src_path": "/f.jsonl", "line_no": i, "msg_role": "model", "tool_name": "Bash"} | k
     at = lambda d: dt.datetime(2025, 1, d)
