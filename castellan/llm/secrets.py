@@ -86,7 +86,12 @@ _STDIN = "--password-stdin"
 _ECHO = _context(r"\becho[ \t]+(?:-n[ \t]+)?")
 _INSERT = re.compile(r"\binsert[ \t]+into[ \t]+\S+[ \t]*\((?P<columns>[^()]*)\)[ \t]*values[ \t]*\((?P<row>(?:'(?:[^']|'')*'|[^)'])*)\)", re.I)
 _CELL = re.compile(r"\s*(?:'((?:[^']|'')*)'|([^,']*))\s*(?:,|$)")
-_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|.*)", re.S | re.I)
+_KEY_BEGIN = re.compile(r"-----BEGIN (?P<label>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----", re.I)
+_PEM_BEGIN = re.compile(r"-----BEGIN ", re.I)
+#: What may follow the BEGIN of a key that has no END: headers, runs of base64 (behind quotes,
+#: comment signs or line numbers), a short last line.
+_KEY_DATA = re.compile(r"(?:[\s\"'`+>|,;#*\[→]|\d{1,7}[\t→:|]|//(?=[ \t])|\\+[nrt]?|-(?!-))*+(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n\\\"]*+|(?P<data>[A-Za-z0-9+/]{16,}+={0,2}+(?![\w=:(]|[.-]\w)))")
+_KEY_TAIL = re.compile(r"[ \t\"'`+,;]*+(?:\r?\n|\\+n)(?:[ \t\"'`>|→]|\d{1,7}[\t→:|]|//(?=[ \t]))*+(?=[a-z]*+[A-Z0-9+/=])[A-Za-z0-9+/]{1,15}+={0,2}+(?=[ \t\"'`,;)]*+(?:[\r\n\\]|\Z))")
 _BARE_ISSUED = re.compile(rf"(?<![A-Za-z0-9_/+-])(?:{_ISSUED})(?![A-Za-z0-9_])")
 _STRONG_NAME = re.compile(_STRONG, re.I)
 #: Texts without any of these can't hold a case; one pass spares them the contexts.
@@ -180,14 +185,32 @@ def _value(m: re.Match) -> tuple[str, list[tuple[int, int]], bool]:
     return text[a:b], [(a, b)], True
 
 
+def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of private keys.  One without its own END before the next BEGIN goes as far as
+    its lines look like key data; a BEGIN line alone is none."""
+    for m in _KEY_BEGIN.finditer(text):
+        after = _PEM_BEGIN.search(text, m.end())
+        border = after.start() if after else len(text)
+        if (last := re.compile(f"-----END {m['label']}-----", re.I).search(text, m.end(), border)) is not None:
+            yield m.start(), last.end()
+            continue
+        end = stop = m.end()
+        while (d := _KEY_DATA.match(text, stop, border)) is not None:
+            stop = d.end()
+            end = stop if d["data"] else end
+        if end > m.end():
+            tail = _KEY_TAIL.match(text, end, border)
+            yield m.start(), tail.end() if tail else end
+
+
 def find(text: str, words: Dictionary) -> list[Case]:
     """Credentials of one text, by position; overlapping ones count once."""
     found: list[Case] = []
     if not _HINT.search(text):
         return found
     low = text.lower()
-    for m in _KEY_BLOCK.finditer(text) if "private key" in low else ():
-        found.append(Case(m.start(), (m.span(),), "private_key"))
+    for span in _key_blocks(text) if "private key" in low else ():
+        found.append(Case(span[0], (span,), "private_key"))
 
     def add(value: str, spans: list[tuple[int, int]], weak: bool, bare: bool, kind: str) -> None:
         if spans and _usable(value, words, weak, bare):
