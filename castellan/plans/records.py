@@ -70,29 +70,29 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(_orphans(spark, d))
 
 
-def _judged(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
-    return rejects.verdicts(table(spark, d, "raw_lines"), with_text)
+def _judged(spark: SparkSession, d: str, with_text: bool = False, with_fields: bool = False) -> DataFrame:
+    return rejects.verdicts(table(spark, d, "raw_lines"), with_text, with_fields)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.failures(_judged(spark, d, False)).select("raw_id", "reason")
+    return rejects.failures(_judged(spark, d)).select("raw_id", "reason")
 
 
 def p5_failures(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.failures(_judged(spark, d, True))
+    return rejects.failures(_judged(spark, d, with_text=True))
 
 
 def p5_csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.csv_rows(_judged(spark, d, False))
+    return rejects.csv_rows(_judged(spark, d, with_fields=True))
 
 
 def p5_jsonl_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rejects.jsonl_rows(_judged(spark, d, True))
+    return rejects.jsonl_rows(_judged(spark, d, with_fields=True))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Failing lines per file and reason."""
-    return rejects.failures(_judged(spark, d, False)).groupBy("src_file", "line_format", "reason").agg(F.count(F.lit(1)).alias("failing"))
+    return rejects.failures(_judged(spark, d)).groupBy("src_file", "line_format", "reason").agg(F.count(F.lit(1)).alias("failing"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_casts, p2_table, p3_found, p3_records, p3_blocks, p3_parts, p3_hunks, p4_found, p4_report, p5_found, p5_failures, p5_csv_rows, p5_jsonl_rows, p5_report)}

@@ -142,6 +142,8 @@ GOOD = "s1,/p,/root,1,0,2,A,90,2025-01-01T00:00:00Z"
     ('"/a \\"b\\" c",/p,,1,0,2,A,90,', "quoting"), (GOOD + ",", "column_count"), ("s1;/p;x", "column_count"), ("s1,/p", "column_count"), (",/p,,1,0,2,A,90,", "invalid_value"), ("s1,/p,,-1,0,2,A,90,", "invalid_value"),
     ("s1,/p,,1,0,2,E,90,", "invalid_value"), ("s1,/p,,1,0,2,a,90,", "invalid_value"), ("s1,/p,,1,0,2,A,101,", "invalid_value"), ("s1,/p,,1,0,2,A,9.5,", "invalid_value"), ("s1,/p,,1,0,2,A,90,yesterday", "invalid_value"),
     ("s1,/p,,٣,0,2,A,90,", "invalid_value"), ('"s1""', "quoting"), ('""', "column_count"), ("s1,/p,,1,0,2,A,,", "invalid_value"), ('s1,"' + "x" * 300_000 + '",,1,0,2,A,90,', None), ("s1,/p\rq,,1,0,2,A,90,", None),
+    ("s1,/p,,1,0,2,A,00000999,", "invalid_value"), ("s1,/p,,1,0,2,A,0000000099,", None), ("s1,/p,,1,0,2,A,-0,", None), ("s1,/p,,1,0,2,A,-1,", "invalid_value"), ("s1,/p,," + "9" * 60 + ",0,2,A,90,", None), ("s1,/p,,1.0,0,2,A,90,", "invalid_value"),
+    ("s1,/p,,1_0,0,2,A,90,", "invalid_value"), ("s1,/p,, 1,0,2,A,90,", "invalid_value"), ("s1,/p\nq,,1,0,2,A,90,", None), ("s1,/p\x00,,1,0,2,A,90,", None), ("\ufeffs1,/p,,1,0,2,A,90,", None), ('"s1,/p,,1,0,2,A,90,', "quoting"), ('"fence"', "column_count"), ('1,"fence"', "column_count"),
 ])
 def test_csv_reasons(line, reason):
     got = rejects.csv_verdicts([GOOD, line, GOOD])
@@ -153,6 +155,7 @@ def test_csv_reasons(line, reason):
     ('{"type": "user"}', None), ('{"type": "user", "timestamp": null}', None), ('{"type": "user", "timestamp": ""}', "invalid_value"), ('{"type": "User"}', "invalid_value"), ("{}", "invalid_value"), ('{"type": "user", "n": NaN}', "syntax"),
     ('{"type": "user",}', "syntax"), ("[1]", "not_object"), ("3", "not_object"), ('{"type": "user"} x', "syntax"), ('{"type": "user", "n": 01}', "syntax"), ("{'type': 'user'}", "syntax"), ('{"type": "user", "s": "a\tb"}', "syntax"),
     (' {"type": "summary", "timestamp": "2025-01-01 00:00:00Z"}\r', None), ('{"type": "user", "n": ' + "9" * 6000 + "}", None), (' {"type": "user"}', "syntax"), ("[" * 100_000, "syntax"),
+    ('{"type": "user", "deep": ' + "[" * 100_000 + "]" * 100_000 + "}", None), ('{"type": "user", "deep": ' + "[" * 100_000 + "]" * 99_999 + "}", "syntax"),
 ])
 def test_json_reasons(text, reason):
     assert rejects.json_reason(text) == reason
@@ -201,7 +204,7 @@ def test_csv_against_a_state_machine():
             i += 1
 
     rng = random.Random(3)
-    lines = ["".join(rng.choice(['"', ",", "a", '""', '","', " "]) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    lines = ["".join(rng.choice(['"', ",", "a", '""', '","', " ", "\r", "\n", '\n"']) for _ in range(rng.randrange(1, 25))) + "x" for _ in range(6000)]
     for line, (reason, got) in zip(lines, rejects.csv_verdicts(lines)):
         want = fields(line)
         assert (reason == "quoting") == (want is None), line
