@@ -8,14 +8,15 @@ pass over the nodes of a record in pre-order.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "rec_id long, pre int, post int, parent_pre int, parent_path string, kind string, node_path string, ordinal int, node_type string, link_key string, value string, result_form string"
+from castellan.functions import jsontext
+
+NODES = "rec_id long, pre int, post int, parent_pre int, parent_path string, kind string, node_path string, ordinal int, node_type string, link_key string, result_form string, members map<string,string>"
 
 
 def _text(x: object) -> str:
@@ -31,26 +32,13 @@ def _kind(x: object) -> str | None:
     return None
 
 
-_FORMS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}
-
-
-def _without_nodes(record: dict) -> dict:
-    """``record`` without the contents that become nodes of their own."""
-    message, result = record.get("message"), record.get("toolUseResult")
-    out = dict(record)
-    if isinstance(message, dict) and isinstance(message.get("content"), (str, list)):
-        out["message"] = {k: v for k, v in message.items() if k != "content"}
-    if isinstance(result, dict) and isinstance(result.get("structuredPatch"), list):
-        out["toolUseResult"] = {k: v for k, v in result.items() if k != "structuredPatch"}
-    return out
-
-
 def walk(record: object) -> list[dict]:
     """Labelled nodes of one parsed record, in pre-order; the record itself is the first.
 
     Anything that is no object gives no nodes.  Elements that are neither objects nor
     strings are no nodes but keep their place in the numbering of paths.  The record's own
-    node has ``result_form``, the JSON type of its toolUseResult (null for none).
+    node has ``result_form``, the JSON type of its toolUseResult (null for none).  A node's
+    ``value`` is its part of the record.
     """
     if not isinstance(record, dict):
         return []
@@ -69,9 +57,9 @@ def walk(record: object) -> list[dict]:
         node["post"] = clock
         clock += 1
 
-    root = enter("record", "", None, _text(record.get("type")), "", _without_nodes(record))
+    root = enter("record", "", None, _text(record.get("type")), "", record)
     message, result = record.get("message"), record.get("toolUseResult")
-    root["result_form"] = _FORMS.get(type(result))
+    root["result_form"] = jsontext.kind_of(result)
     if message is None and record.get("type") == "tool_use":
         leave(enter("block", "self", None, "tool_use", _text(record.get("id")), record))
     content = message.get("content") if isinstance(message, dict) else None
@@ -107,36 +95,68 @@ def link(nodes: list[dict]) -> None:
         open_.append(n)
 
 
-def node_table(records: DataFrame) -> DataFrame:
-    """All nodes of all records (narrow: no shuffle).  A null, unparsable or non-object
-    record gives no node; repeated rec_ids give repeated nodes."""
+def members(node: dict) -> list[tuple[str, str]]:
+    """Fields of a node as texts, without nulls: those of its object by name, a string as
+    'text'.  A record has those of its message and toolUseResult by path, without what
+    becomes nodes of its own."""
+    value = node["value"]
+    if not isinstance(value, dict):
+        return [("text", jsontext.shown(value))]
+    found = dict(value)
+    if node["kind"] == "record":
+        for name, nodes in (("message", "content"), ("toolUseResult", "structuredPatch")):
+            if isinstance(value.get(name), dict):
+                del found[name]
+                found |= {f"{name}.{k}": v for k, v in value[name].items() if k != nodes or not isinstance(v, (list, str) if name == "message" else list)}
+    elif node["node_type"] == "tool_result":
+        found.pop("content", None)
+    return [(jsontext.shown(k), t) for k, v in found.items() if (t := jsontext.shown(v)) is not None]
+
+
+def labelled(text: str | None) -> list[dict]:
+    """Nodes of a record's text with their parents; one of kind 'unreadable', whose type is
+    the reason, for a null, a text that is no JSON and a value that is no object."""
+    try:
+        record = jsontext.parse(text) if text is not None else None
+        reason = "null" if text is None else "not_object"
+    except ValueError:
+        record, reason = None, "syntax"
+    nodes = walk(record)
+    link(nodes)
+    return nodes or [{"kind": "unreadable", "pre": 0, "post": 1, "node_path": "", "node_type": reason, "link_key": "", "value": None}]
+
+
+def _every_node(records: DataFrame, with_members: bool) -> DataFrame:
+    fields = [x.strip().split(" ") for x in NODES.rsplit(",", 2)[0].split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in NODES.split(", ")]
         for b in batches:
-            rows = []
-            for rec_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    nodes = walk(json.loads(text)) if text else []
-                except (ValueError, RecursionError):
-                    continue
-                link(nodes)
-                for n in nodes:
-                    value = n["value"] if isinstance(n["value"], str) else json.dumps(n["value"], ensure_ascii=False)
-                    # lone surrogates can't be stored as UTF-8
-                    n["rec_id"], n["value"] = rec_id, value.encode("utf-8", "replace").decode()
-                rows.extend(nodes)
-            kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], kinds[t.split()[1]]) for k, t in zip(names, NODES.split(", "))], names=names)
+            rows = [n | {"rec_id": rec_id} for rec_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n in labelled(text)]
+            for n in rows:
+                n["node_type"], n["link_key"] = jsontext.shown(n["node_type"]), jsontext.shown(n["link_key"])
+            own = pa.array([members(n) if with_members and n["kind"] != "unreadable" else None for n in rows], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r.get(k) for r in rows], kinds[t]) for k, t in fields), own], names=[*(k for k, _ in fields), "members"])
 
     return records.select("rec_id", "record").mapInArrow(label, NODES)
 
 
-def _field(name: str, kind: str = "string"):
-    return F.get_json_object("value", f"$.{name}").cast(kind)
+def node_table(records: DataFrame, with_members: bool = True) -> DataFrame:
+    """All nodes of all records (narrow: no shuffle).  Records that can't be read have none,
+    see ``unreadable``; repeated rec_ids give repeated nodes."""
+    return _every_node(records, with_members).where("kind <> 'unreadable'")
+
+
+def unreadable(records: DataFrame) -> DataFrame:
+    """rec_id of records that give no nodes, with the reason: null, syntax or not_object."""
+    return _every_node(records, False).where("kind = 'unreadable'").select("rec_id", F.col("node_type").alias("reason"))
+
+
+def _field(name: str, kind: str = "string") -> Column:
+    return F.col("members")[name].try_cast(kind)
 
 
-def _spelled(*names: str):
+def _spelled(*names: str) -> Column:
     """The first of the fields that isn't empty, else the first that is there."""
     return F.coalesce(*(F.nullif(_field(n), F.lit("")) for n in names), *(_field(n) for n in names))
 
@@ -159,23 +179,21 @@ def record_table(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'record'").select(
         "rec_id", "pre", "post", F.col("node_type").alias("record_type"), _field("cwd").alias("cwd"), _field("sessionId").alias("session_id"), _field("timestamp").alias("ts_text"),
         _field("message.role").alias("message_role"), _field("message.model").alias("message_model"), "result_form", F.when(form != "object", _field("toolUseResult")).alias("result_text"),
-        *(F.when(form == "object", F.get_json_object("value", f"$.toolUseResult.{n}").try_cast(t)).alias(a) for n, a, t in RESULT_FIELDS),
+        *(F.when(form == "object", _field(f"toolUseResult.{n}", t)).alias(a) for n, a, t in RESULT_FIELDS),
     )
 
 
 def block_table(nodes: DataFrame) -> DataFrame:
-    plain = ~F.col("value").startswith("{")
     return nodes.where("kind = 'block'").select(
         "rec_id", "pre", "post", "parent_pre", "node_path", "ordinal", F.col("node_type").alias("block_type"), "link_key",
-        _spelled("name", "tool", "tool_name").alias("tool_name"), _spelled("input", "parameters", "params").alias("tool_input"), F.when(plain, F.col("value")).otherwise(_field("text")).alias("text"),
+        _spelled("name", "tool", "tool_name").alias("tool_name"), _spelled("input", "parameters", "params").alias("tool_input"), _field("text").alias("text"),
     )
 
 
 def part_table(nodes: DataFrame) -> DataFrame:
-    plain = ~F.col("value").startswith("{")
     return nodes.where("kind = 'part'").select(
         "rec_id", "pre", "post", "parent_pre", "parent_path", "node_path", "ordinal", F.col("node_type").alias("part_type"), "link_key",
-        F.when(plain, F.col("value")).otherwise(_field("text")).alias("text"), _field("source").alias("source"),
+        _field("text").alias("text"), _field("source").alias("source"),
     )
 
 

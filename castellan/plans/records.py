@@ -26,20 +26,26 @@ def p2_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_casts(spark: SparkSession, d: str) -> DataFrame:
-    return drift.casts(_sightings(spark, d)[1])
+    return drift.casts(_sightings(spark, d)[1]).drop("plain_lists", "in_lists")
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     aliases, seen = _sightings(spark, d)
-    return drift.consistent_table(table(spark, d, "drift_records"), aliases, drift.table_plan(drift.casts(seen)))
+    return drift.consistent_table(table(spark, d, "drift_records"), aliases, *drift.table_plan(drift.casts(seen)))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_table(table(spark, d, "nested_records"))
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Filled cells of every column of p2_table."""
+    aliases, seen = _sightings(spark, d)
+    return drift.values_per_path(table(spark, d, "drift_records"), aliases, drift.table_plan(drift.casts(seen))[0])
+
+
+def _nodes(spark: SparkSession, d: str, with_members: bool = True) -> DataFrame:
+    return nested.node_table(table(spark, d, "nested_records"), with_members)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).where("kind <> 'record' and parent_pre is not null").select("rec_id", "node_path", "node_type", "link_key")
+    return _nodes(spark, d, False).where("kind <> 'record' and parent_pre is not null").select("rec_id", "node_path", "node_type", "link_key")
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +64,10 @@ def p3_hunks(spark: SparkSession, d: str) -> DataFrame:
     return nested.hunk_table(_nodes(spark, d))
 
 
+def p3_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    return nested.unreadable(table(spark, d, "nested_records"))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(*orphans.references(*(table(spark, d, t) for t in ("session_messages", "tool_results", "findings", "session_files", "call_deletions"))))
 
@@ -95,4 +105,4 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return rejects.failures(_judged(spark, d)).groupBy("src_file", "line_format", "reason").agg(F.count(F.lit(1)).alias("failing"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_casts, p2_table, p3_found, p3_records, p3_blocks, p3_parts, p3_hunks, p4_found, p4_report, p5_found, p5_failures, p5_csv_rows, p5_jsonl_rows, p5_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_casts, p2_table, p2_values, p3_found, p3_records, p3_blocks, p3_parts, p3_hunks, p3_unreadable, p4_found, p4_report, p5_found, p5_failures, p5_csv_rows, p5_jsonl_rows, p5_report)}

@@ -46,18 +46,42 @@ def test_drift_odd_records(spark):
 
 def test_consistent_table(spark):
     rows = drift_rows(spark, [("s", 1, 0, [{"N": 1, "t": "x", "l": [{"v": 1}, {"v": "b"}]}, {"n": 2.5, "t": True}, None])]).selectExpr("*", "7 as n")
-    plan = drift.table_plan(drift.casts(drift.field_sightings(rows, {})))
+    plan, more = drift.table_plan(drift.casts(drift.field_sightings(rows, {})))
     assert plan == [("l__v".replace("__", "."), "string"), ("n", "double"), ("t", "string")]
     got = {r.rec_id: (r.n, r.t, r.l__v) for r in drift.consistent_table(rows, {}, plan).collect()}
-    assert got == {0: (1.0, "x", '[1, "b"]'), 1: (2.5, "true", None), 2: (None, None, None)}
+    assert got == {0: (1.0, "x", '[1,"b"]'), 1: (2.5, "true", None), 2: (None, None, None)}
 
 
 def test_values_beside_sub_fields_stay(spark):
     rows = drift_rows(spark, [("s", 1, 0, [{"cwd": "/a", "file_id": 1}, {"cwd": {"value": "/b"}}, {"cwd": 3}])])
-    plan = drift.table_plan(drift.casts(drift.field_sightings(rows, {"fileid": "file_id"})))
+    plan, more = drift.table_plan(drift.casts(drift.field_sightings(rows, {"fileid": "file_id"})))
     assert plan == [("cwd", "string"), ("cwd.value", "string"), ("file_id", "double")]
     table = drift.consistent_table(rows, {"fileid": "file_id"}, plan)
-    assert {r.rec_id: (r.cwd, r.cwd__value, r.file_id__) for r in table.collect()} == {0: ("/a", None, 1.0), 1: ('{"value": "/b"}', "/b", None), 2: ("3", None, None)}
+    assert {r.rec_id: (r.cwd, r.cwd__value, r.file_id__) for r in table.collect()} == {0: ("/a", None, 1.0), 1: ('{"value":"/b"}', "/b", None), 2: ("3", None, None)}
+
+
+def test_lists_keep_the_shape_of_their_array(spark):
+    records = [
+        {"c": [{"t": "a", "n": "x"}, {"t": "b"}, "loose", {"n": "y", "p": [{"q": 1}, {}, {"q": 2}]}]},
+        {"c": [{"p": [{"q": 3}]}, {"p": []}]},
+        {"c": "plain", "d": [1, 2], "e": []},
+    ]
+    rows = drift_rows(spark, [("s", 1, 0, records)])
+    plan, more = drift.table_plan(drift.casts(drift.field_sightings(rows, {})))
+    assert [p for p, _ in plan] == ["c", "c.n", "c.p.q", "c.t", "d", "e"] and not more
+    got = {r.rec_id: r for r in drift.consistent_table(rows, {}, plan).collect()}
+    assert (got[0].c__t, got[0].c__n, got[0].c__p__q) == ('["a","b",null,null]', '["x",null,null,"y"]', "[null,null,null,[1,null,2]]")
+    assert json.loads(got[0].c) == records[0]["c"] and (got[1].c__p__q, got[2].c, got[2].d, got[2].e) == ("[[3],null]", "plain", "[1,2]", "[]")
+    assert {r.field_path: r.records for r in drift.values_per_path(rows, {}, plan).collect()} == {"c": 3, "c.n": 1, "c.p.q": 2, "c.t": 1, "d": 1, "e": 1}
+
+
+def test_paths_beyond_the_columns_stay(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_COLUMNS", 2)
+    rows = drift_rows(spark, [("s", 1, 0, [{"a": 1, "b": "x", "c": 2, "d": {"e": [{"f": True}, {}]}}, {"a": 2, "b": "y"}, {"z": None}])])
+    plan, more = drift.table_plan(drift.casts(drift.field_sightings(rows, {})))
+    assert plan == [("a", "double"), ("b", "string")] and more
+    got = {r.rec_id: (r.a, r.b, r.other_fields) for r in drift.consistent_table(rows, {}, plan, more).collect()}
+    assert got == {0: (1.0, "x", {"c": "2", "d.e.f": "[true,null]"}), 1: (2.0, "y", {}), 2: (None, None, {})}
 
 
 def test_nested_nodes_and_links(spark):
@@ -111,6 +135,19 @@ def test_record_table_has_the_message_and_the_result(spark):
     assert (got[2].result_file_path, got[2].user_modified, got[6].stdout) == ("/g", None, None)
 
 
+def test_records_at_the_edge_of_the_parser_keep_all(spark):
+    deep, digits = "[" * 20_000 + "]" * 20_000, "7" * 6000
+    odd = f'{{"type": "tool_use", "id": "a", "name": "Bash", "input": {{"n": {digits}, "deep": {deep}, "x": 1.10}}}}'
+    rows = [(1, odd), (2, None), (3, ""), (4, "[1]"), (5, '{"a": NaN}'), (6, '{"message": {"content": [' + odd + "]}}"), (7, "null")]
+    df = spark.createDataFrame(rows, "rec_id long, record string")
+    given = f'{{"n":{digits},"deep":{deep},"x":1.10}}'
+    assert sorted((r.rec_id, r.tool_name, r.tool_input) for r in nested.block_table(nested.node_table(df)).collect()) == [(1, "Bash", given), (6, "Bash", given)]
+    assert sorted((r.rec_id, r.reason) for r in nested.unreadable(df).collect()) == [(2, "null"), (3, "syntax"), (4, "not_object"), (5, "syntax"), (7, "not_object")]
+    assert changed(spark, [("s", 1, 0, ["{}"]), ("s", 2, 1, [odd, f'{{"m": {deep}, "k": {digits}}}'])]) == sorted((2, p, "added") for p in ("type", "id", "name", "input", "k", "m"))
+    table = drift.consistent_table(drift_rows(spark, [("s", 1, 0, [f'{{"m": {deep}, "k": {digits}, "d": 1.10}}'])]), {}, [("d", "string"), ("k", "string"), ("m", "string")]).first()
+    assert (table.d, table.k, table.m) == ("1.10", digits, deep)
+
+
 def test_orphans(spark):
     call = lambda i, **k: {"session_id": "S", "src_path": "/f.jsonl", "line_no": i, "msg_role": "model", "tool_name": "Bash"} | k
     at = lambda d: dt.datetime(2025, 1, d)
