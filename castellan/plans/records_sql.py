@@ -94,9 +94,9 @@ fields as (
   from tree c left join tree p on p.rec_id = c.rec_id and p.id = c.parent
   left join names n on n.field_name = replace(replace(lower(c.key), '_', ''), '-', '')),
 walk as (
-  select rec_id, id, '' as path, type, cast(null as varchar) as spelling, true as element from tree where parent is null
+  select rec_id, id, '' as path, type, cast(null as varchar) as spelling, true as element, false as inside from tree where parent is null
   union all
-  select f.rec_id, f.id, case when f.in_array then w.path when w.path = '' then f.name else w.path || '.' || f.name end, f.type, f.key, f.in_array
+  select f.rec_id, f.id, case when f.in_array then w.path when w.path = '' then f.name else w.path || '.' || f.name end, f.type, f.key, f.in_array, w.inside or f.in_array
   from walk w join fields f on f.rec_id = w.rec_id and f.parent = w.id where w.path <> 'message.content.input'),
 seen as (
   select d.stream_name, d.file_id, w.path as field_path, w.spelling,
@@ -128,11 +128,30 @@ changed as (
 SQL = {
     "p2_found": f"{_DRIFT} select file_id, field_path, change_kind from changed",
     "p2_casts": f"""{_DRIFT},
-per_record as (select distinct rec_id, field_path, spelling, kind from (
-  select w.rec_id, w.path as field_path, w.spelling, case w.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end as kind
-  from walk w where not w.element)),
-folded as (select field_path, coalesce(list_sort(list(distinct kind) filter (kind is not null)), []) as json_types, list_sort(list(distinct spelling)) as spellings, count(*) as records from per_record group by 1)
-select field_path, json_types, spellings, records, case when json_types = ['number'] then 'double' when json_types = ['boolean'] then 'boolean' else 'string' end as column_type from folded""",
+per_record as (select rec_id, field_path, spelling, kind, bool_or(inside) as inside from (
+  select w.rec_id, w.path as field_path, w.spelling, w.inside, case w.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then null else 'number' end as kind
+  from walk w where not w.element) group by 1, 2, 3, 4),
+folded as (select field_path, coalesce(list_sort(list(distinct kind) filter (kind is not null)), []) as json_types, list_sort(list(distinct spelling)) as spellings, count(*) as records, bool_or(inside) as inside from per_record group by 1)
+select field_path, json_types, spellings, records, case when inside then 'string' when json_types = ['number'] then 'double' when json_types = ['boolean'] then 'boolean' else 'string' end as column_type from folded""",
+    "p2_changes": f"""{_DRIFT},
+held as (select file_id, field_path from both_),
+steps as (
+  select p.stream_name, p.no as file_no, p.file_id, 'added' as change_kind, a.field_path, a.spellings, a.kinds as json_types, null::varchar[] as was_spelled, null::varchar[] as was_typed
+    from pairs p join cat a on a.stream_name = p.stream_name and a.no = p.no
+    where not exists (select 1 from cat b where b.stream_name = p.stream_name and b.no = p.old_no and b.field_path = a.field_path)
+  union all
+  select p.stream_name, p.no, p.file_id, 'removed', b.field_path, null, null, b.spellings, b.kinds from pairs p join cat b on b.stream_name = p.stream_name and b.no = p.old_no
+    where not exists (select 1 from cat a where a.stream_name = p.stream_name and a.no = p.no and a.field_path = b.field_path))
+select * from steps s where position('.' in s.field_path) = 0 or exists (select 1 from held h where h.file_id = s.file_id and h.field_path = regexp_replace(s.field_path, '\\.[^.]*$', ''))
+union all
+select p.stream_name, p.no, b.file_id, k.kind, b.field_path, b.spellings, b.kinds, b.old_spellings, b.old_kinds
+from both_ b join pairs p on p.file_id = b.file_id join (select unnest(['renamed', 'retyped']) as kind) k
+  on (k.kind = 'renamed' and b.spellings <> b.old_spellings) or (k.kind = 'retyped' and b.kinds <> b.old_kinds and len(b.kinds) > 0 and len(b.old_kinds) > 0)""",
+    "p2_values": f"""{_DRIFT},
+parents as (select distinct regexp_replace(path, '\\.[^.]*$', '') as path from walk where not element and position('.' in path) > 0),
+plain as (select distinct path from walk where type not in ('OBJECT', 'ARRAY', 'NULL') and path <> ''),
+columns_ as (select distinct path from walk w where not element and (path not in (select path from parents) or path in (select path from plain)))
+select w.path as field_path, count(distinct case when w.inside or w.type <> 'NULL' then w.rec_id end) as records from walk w join columns_ c on c.path = w.path where not w.element group by 1""",
     "p3_found": """
 with r as (select rec_id, cast(record as json) as j from nested_records),
 shaped as (select rec_id, j, json_extract(j, '$.message.content') as c, json_extract(j, '$.toolUseResult') as u from r),
@@ -185,6 +204,58 @@ union all select raw_id, 'invalid_value' from cells where ok and len(v) = 9 and
 """,
 }
 
+
+
+def _shown(j: str, path: str) -> str:
+    """A string as it is, null for null, else the JSON text."""
+    return f"case json_type({j}, '$.{path}') when 'VARCHAR' then {j} ->> '$.{path}' when 'NULL' then null else cast(json_extract({j}, '$.{path}') as varchar) end"
+
+
+def _spelled(j: str, *names: str) -> str:
+    return "coalesce(" + ", ".join([f"nullif({_shown(j, n)}, '')" for n in names] + [_shown(j, n) for n in names]) + ")"
+
+
+#: Nodes with their labels: a node opens and closes at one tick each, so what stands before
+#: it in its record has used up two ticks a node.
+_LABELS = f"""{SQL['p3_found'].partition('select rec_id, ' + chr(39) + 'content.')[0].rstrip().rstrip(',')},
+selfs as (select rec_id, -1 as i, j as b, 'tool_use' as node_type from shaped where json_type(j, '$.type') = 'VARCHAR' and j ->> '$.type' = 'tool_use' and coalesce(json_type(j, '$.message'), 'NULL') = 'NULL'),
+every as (select * from typed union all select * from selfs),
+sound as (select rec_id, i, k, p, link_key, case when json_type(p) = 'VARCHAR' then 'text' when json_type(p, '$.type') = 'VARCHAR' then p ->> '$.type' else 'text' end as part_type from parts where json_type(p) in ('OBJECT', 'VARCHAR')),
+sized as (select e.*, coalesce(n.n, 0) as n_parts from every e left join (select rec_id, i, count(*) as n from sound group by 1, 2) n on n.rec_id = e.rec_id and n.i = e.i),
+b_ as (select *, 1 + coalesce(sum(2 + 2 * n_parts) over (partition by rec_id order by i rows between unbounded preceding and 1 preceding), 0) as pre from sized),
+p_ as (select s.*, b_.pre as parent_pre, b_.pre + 2 * row_number() over (partition by s.rec_id, s.i order by k) - 1 as pre from sound s join b_ on b_.rec_id = s.rec_id and b_.i = s.i),
+totals as (select rec_id, sum(2 + 2 * n_parts) as t from sized group by 1),
+hunks as (
+  select rec_id, cast(t.k as integer) as k, u, json_extract(u, '$.structuredPatch[' || t.k || ']') as h from shaped, unnest(range(cast(json_array_length(json_extract(u, '$.structuredPatch')) as bigint))) as t(k)
+  where json_type(u) = 'OBJECT' and json_type(u, '$.structuredPatch') = 'ARRAY' and json_type(u, '$.structuredPatch[' || t.k || ']') = 'OBJECT'),
+h_ as (select h.*, coalesce(t.t, 0) + 2 * row_number() over (partition by h.rec_id order by k) - 1 as pre from hunks h left join totals t on t.rec_id = h.rec_id),
+links as (select rec_id, i, case when json_type(b) = 'OBJECT' and node_type = 'tool_result' and json_type(b, '$.tool_use_id') = 'VARCHAR' then b ->> '$.tool_use_id' when json_type(b) = 'OBJECT' and node_type = 'tool_use' and json_type(b, '$.id') = 'VARCHAR' then b ->> '$.id' else '' end as link_key from b_)
+"""
+_RESULTS = [
+    ("type", "result_type", ""), ("filePath", "result_file_path", ""), ("content", "result_content", ""), ("originalFile", "original_file", ""), ("userModified", "user_modified", "boolean"),
+    ("stdout", "stdout", ""), ("stderr", "stderr", ""), ("interrupted", "interrupted", "boolean"), ("isImage", "is_image", "boolean"), ("noOutputExpected", "no_output_expected", "boolean"),
+]
+_RESULT_COLUMNS = ", ".join(f"case when json_type(u) = 'OBJECT' then {'try_cast(' + _shown('u', n) + ' as boolean)' if t else _shown('u', n)} end as {a}" for n, a, t in _RESULTS)
+_TEXT = "case when json_type({0}) = 'VARCHAR' then {0} ->> '$' else {1} end"
+SQL["p3_records"] = f"""{_LABELS}
+select s.rec_id, cast(0 as integer) as pre, cast(1 + coalesce(t.t, 0) + 2 * coalesce(n.n, 0) as integer) as post, case when json_type(j, '$.type') = 'VARCHAR' then j ->> '$.type' else '' end as record_type,
+  {_shown('j', 'cwd')} as cwd, {_shown('j', 'sessionId')} as session_id, {_shown('j', 'timestamp')} as ts_text, {_shown('j', 'message.role')} as message_role, {_shown('j', 'message.model')} as message_model,
+  case json_type(u) when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then null else case when u is not null then 'number' end end as result_form,
+  case when json_type(u) <> 'OBJECT' then {_shown('j', 'toolUseResult')} end as result_text, {_RESULT_COLUMNS}
+from shaped s left join totals t on t.rec_id = s.rec_id left join (select rec_id, count(*) as n from hunks group by 1) n on n.rec_id = s.rec_id where json_type(j) = 'OBJECT'"""
+SQL["p3_blocks"] = f"""{_LABELS}
+select b_.rec_id, cast(pre as integer) as pre, cast(pre + 1 + 2 * n_parts as integer) as post, cast(0 as integer) as parent_pre, case when b_.i < 0 then 'self' else 'content.' || b_.i end as node_path, case when b_.i >= 0 then b_.i end as ordinal,
+  node_type as block_type, link_key, case when json_type(b) = 'OBJECT' then {_spelled('b', 'name', 'tool', 'tool_name')} end as tool_name, case when json_type(b) = 'OBJECT' then {_spelled('b', 'input', 'parameters', 'params')} end as tool_input,
+  {_TEXT.format('b', _shown('b', 'text'))} as text from b_ join links l on l.rec_id = b_.rec_id and l.i = b_.i"""
+SQL["p3_parts"] = f"""{_LABELS}
+select rec_id, cast(pre as integer) as pre, cast(pre + 1 as integer) as post, cast(parent_pre as integer) as parent_pre, 'content.' || i as parent_path, 'content.' || i || '.content.' || k as node_path, k as ordinal, part_type, link_key,
+  {_TEXT.format('p', _shown('p', 'text'))} as text, case when json_type(p) = 'OBJECT' then {_shown('p', 'source')} end as source from p_"""
+SQL["p3_hunks"] = f"""{_LABELS}
+select rec_id, cast(pre as integer) as pre, cast(pre + 1 as integer) as post, cast(0 as integer) as parent_pre, 'toolUseResult.structuredPatch.' || k as node_path, k as ordinal, case when json_type(u, '$.filePath') = 'VARCHAR' then u ->> '$.filePath' else '' end as file_path,
+  {', '.join(f"try_cast({_shown('h', n)} as integer) as {a}" for n, a in (('oldStart', 'old_start'), ('oldLines', 'old_lines'), ('newStart', 'new_start'), ('newLines', 'new_lines')))}, {_shown('h', 'lines')} as lines from h_"""
+SQL["p3_unreadable"] = """
+select rec_id, case when record is null then 'null' when not json_valid(record) then 'syntax' else 'not_object' end as reason from nested_records
+where record is null or not json_valid(record) or json_type(cast(record as json)) <> 'OBJECT'"""
 SQL["p5_failures"] = f"""with found as ({SQL['p5_found']}) select raw_id, src_file, line_no, lower(trim(line_format)) as line_format, reason, raw_text, loaded_at from found join raw_lines using (raw_id)"""
 SQL["p5_report"] = f"""with found as ({SQL['p5_found']}) select src_file, lower(trim(line_format)) as line_format, reason, count(*) as failing from found join raw_lines using (raw_id) group by all"""
 SQL["p5_csv_rows"] = f"""
@@ -193,3 +264,8 @@ c as (select raw_id, src_file, line_no, loaded_at, raw_text as t from raw_lines
 v as (select *, list_transform(regexp_extract_all(',' || t, '(?s),{_CSV_FIELD}', 1), lambda x: case when x like '"%' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) as v from c)
 select raw_id, src_file, line_no, nullif(v[1], '') as session_id, nullif(v[2], '') as src_path, nullif(v[3], '') as project_root, try_cast(v[4] as bigint) as event_count, try_cast(v[5] as bigint) as skipped_lines,
   try_cast(v[6] as bigint) as tool_call_count, nullif(v[7], '') as grade, try_cast(v[8] as integer) as grade_score, nullif(v[9], '') as first_ts, loaded_at from v"""
+
+SQL["p5_jsonl_rows"] = f"""
+with found as ({SQL['p5_found']}),
+j as (select raw_id, src_file, line_no, loaded_at, cast(raw_text as json) as v from raw_lines where lower(trim(line_format)) = 'jsonl' and {filled('raw_text')} and raw_id not in (select raw_id from found))
+select raw_id, src_file, line_no, {', '.join(f"{_shown('v', path)} as {name}" for path, name in (('type', 'event_type'), ('sessionId', 'session_id'), ('timestamp', 'ts_text'), ('cwd', 'cwd'), ('message.role', 'msg_role'), ('message.content', 'content')))}, loaded_at from j"""
