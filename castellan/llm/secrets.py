@@ -3,8 +3,9 @@
 Literals are taken from assignment contexts (names, flags, headers, URLs, SQL, prose) and
 segmented into dictionary words by Viterbi.  What the words leave unexplained is the
 residual: a long one in such a context is a credential; in a weak context it must be
-longer.  Placeholders, look-ups, masked values and labelled hashes are none.  The
-dictionary is counted over all distinct texts.
+longer.  Placeholders, look-ups, masked values and hashes known by label or place are
+none.  The dictionary is counted over all distinct texts, outside of assigned values, so
+that no credential explains itself.
 """
 
 from __future__ import annotations
@@ -14,18 +15,19 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word counts if at least this share of the distinct texts, and this many, have it; only so many
-#: of the most frequent words are kept, which bounds what the workers are sent.
-WORD_SHARE, WORD_ROWS, MAX_WORDS = 2e-4, 5, 50_000
+from castellan.operators.tables import cut
+
+#: A word counts if it makes at least this share of all words counted (one a text), and so
+#: many texts have it.  Not more than 1 / WORD_SHARE words can, so that is all the workers are
+#: ever sent; nothing is cut.
+WORD_SHARE, WORD_ROWS = 1e-5, 5
 #: Unexplained characters that make a literal a credential.
 LEAST_STRONG, LEAST_WEAK, LEAST_LENGTH = 3, 12, 6
-#: A literal is segmented in blocks of so many characters, until this much is unexplained:
-#: no threshold asks for more.
-BLOCK_CHARS, ENOUGH = 512, 64
 
 # Words that name a credential, and formats of issued tokens.
 _STRONG = r"(?:pass(?:word|wd|phrase|code)|passwd|pwd|(?<![a-z])pw|secret|token|api[_-]?key|access[_-]?key(?![_-]?id)|private[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|authorization|client[_-]?secret|auth[_-]?token|credentials?)"
@@ -36,10 +38,23 @@ _ISSUED = (
     r"|sk-ant-[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9]{20,}"
 )
 _PLACEHOLDER = re.compile(
-    r"(?i)^<[^>]*>$|\$\{|\{\{|^\$|^%\w+%$|^%\(|^@@|redacted|example|change.?me|placeholder|your[-_ ]|dummy|sample|insert|^todo$|^none$|^null$|^true$|^false$|^undefined$"
-    r"|environ|process\.env|getenv|getpass|^vault[:_./]|^env[:.]|^secrets?\.|masked|hidden|^\W*$|^(?:.{0,8}?)([x*•#._-])\1{3,}.{0,4}$"
+    r"(?i)^<[^>]*>$|\$\{|\{\{|^\$|^%\w+%$|^%\(|^@@|redacted|change.?me|placeholder|(?<![A-Za-z])your[-_ ]|^todo$|^none$|^null$|^true$|^false$|^undefined$"
+    r"|^os\.environ|process\.env|getenv|getpass|^vault[:_./]|^env[:.]|^secrets?\.|^\W*$|^(?:.{0,8}?)([x*•#._-])\1{3,}.{0,4}$"
+)
+#: Words that make a literal a placeholder at its start or end, beside a separator or as a
+#: part of camel case.
+_FILLER_WORDS = "example|dummy|sample|insert|hidden|masked|environ"
+_FILLER = re.compile(
+    "|".join(
+        rf"(?:^|(?<=[^A-Za-z0-9]))(?:{words})(?!{more})|(?<!{more})(?:{words})(?=[^A-Za-z0-9]|$)"
+        for words, more in ((_FILLER_WORDS, "[a-z]"), (_FILLER_WORDS.upper(), "[A-Z]"), ("|".join(w.capitalize() for w in _FILLER_WORDS.split("|")), "[a-z]"))
+    )
+    + rf"|(?<=[a-z])(?:{'|'.join(w.capitalize() for w in _FILLER_WORDS.split('|'))})(?=[A-Z])"
 )
-_LABELLED_HASH = re.compile(r"(?i)^(?:sha(?:1|224|256|384|512)|md5|crc32)[:-]")
+# Names of digests, lengths of their hexadecimal forms, words that announce one.
+_LABELLED_HASH = re.compile(r"(?i)^\{?(?:s?sha-?(?:1|2|3|224|256|384|512)?|s?md5|crc32|blake2[bs]?|blake3|pbkdf2|bcrypt|scrypt|argon2(?:id|i|d)?)(?:[_-]sha-?\d+)?[:$}_=-]")
+_HEX_DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
+_DIGEST_LEAD = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|digest|checksum|fingerprint|etag|hash(?:ed)?)[\w.-]{0,40}[\"'\]]?[ \t]*(?::=|=>|[:=]|\bis\b)?[ \t]*(?:\([ \t]*)?[\"'`]?$")
 _URL = re.compile(r"^[a-z][a-z0-9+.-]*://", re.I)
 
 _QUOTED = r"""(?:"(?:[^"\\\r\n]|\\.)*"|'(?:[^'\\\r\n]|\\.)*'|`[^`\r\n]*`)"""
@@ -73,6 +88,11 @@ CONTEXTS: list[tuple[re.Pattern, bool]] = [
     (_context(r"\bbearer[ \t]+(?=[A-Za-z0-9])"), False),
     (_context(r"\bbasic[ \t]+(?=[A-Za-z0-9+/]{8,}={0,2}(?:[^A-Za-z0-9+/=]|$))"), False),
 ]
+#: What a text must have (in lower case) for each context: None is a strong name.
+_CONTEXT_SIGNS: list[tuple] = [
+    (None, (":", "=")), (("key", "auth", "pass", "login", "cred"), (":", "=")), (None, ("-",)), (("login",), ("password",)), (("identified", "password"), ("'",)), (None, (">",)),
+    (None, (" for", "\tfor")), (("pass", "pw", "secret", "token", "key", "auth", "cred"), (" is", "\tis")), (None, ("(",)), (None, ("|",)), (("bearer",),), (("basic",),),
+]
 _USERINFO = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<bare>[^\s/\"'`<>]+?)@(?=[\w\[.-])", re.I)
 #: Contexts within one command: (word of the command, where in it the value is).
 _FLAGS = [
@@ -94,9 +114,21 @@ _KEY_DATA = re.compile(r"(?:[\s\"'`+>|,;#*\[→]|\d{1,7}[\t→:|]|//(?=[ \t])|\\
 _KEY_TAIL = re.compile(r"[ \t\"'`+,;]*+(?:\r?\n|\\+n)(?:[ \t\"'`>|→]|\d{1,7}[\t→:|]|//(?=[ \t]))*+(?=[a-z]*+[A-Z0-9+/=])[A-Za-z0-9+/]{1,15}+={0,2}+(?=[ \t\"'`,;)]*+(?:[\r\n\\]|\Z))")
 _BARE_ISSUED = re.compile(rf"(?<![A-Za-z0-9_/+-])(?:{_ISSUED})(?![A-Za-z0-9_])")
 _STRONG_NAME = re.compile(_STRONG, re.I)
-#: Texts without any of these can't hold a case; one pass spares them the contexts.
-_HINT = re.compile(r"pass|pwd|pw\b|secret|token|key|auth|cred|bearer|basic|login|identified|mysql|curl|://[^\s/]*@|sk_live|rk_live|pk_live|gh[pousr]_|github_pat|glpat-|npm_|xox|akia|aiza|eyj|sk-|private key", re.I)
+#: Texts without any of these can't hold a case (lower case; plain searches are much quicker
+#: than patterns).
+_STRONG_SIGNS = ("pass", "pwd", "pw", "secret", "token", "key", "authorization", "credential")
+_ISSUED_SIGNS = ("k_live_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "xox", "akia", "aiza", "eyj", "sk-")
+_SIGNS = (*_STRONG_SIGNS, *_ISSUED_SIGNS, "auth", "login", "cred", "bearer", "basic", "identified", "://", "curl", "mysql")
+#: Phrases of several words, which no dictionary leaves unexplained: by name and form.
+_PHRASE = re.compile(r"(?i)(?P<name>pass(?:phrase|word|wd|code)|pwd|secret)[\"'\]]?[ \t]*(?::=|=>|=(?!=)|:)[ \t]*(?P<quote>[\"'])(?P<phrase>[A-Za-z]{3,}(?:[ ][A-Za-z0-9]{3,}){2,15})(?P=quote)")
+#: Fixed value: words of sentences about passwords, which phrases don't have.
+_SENTENCE = frozenset(
+    "the and are was has have must should shall can cannot could will would may please enter type your you our their for with without from not none does did this that these those its new old current at least"
+    " character characters invalid incorrect wrong required missing match expired empty again field value reset change changed update updated confirm login user name set sent show hide forgot need needs use using used".split()
+)
 _PIECE = re.compile(_QUOTED)
+#: A quoted piece before this is a name and no part of the value before it.
+_NAME_BEHIND = re.compile(r"[ \t]*:")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -113,34 +145,32 @@ class Dictionary:
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
-        self.cost = {w: min(14.0, -math.log2(n / total)) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=0)
+        self.found = ahocorasick.Automaton()
+        for w, n in counts.items():
+            self.found.add_word(w, (len(w), min(14.0, -math.log2(n / total))))
+        if counts:
+            self.found.make_automaton()
+        self.empty = not counts
 
     def residual(self, text: str) -> int:
-        """Characters, without separators, that the cheapest segmentation leaves to single
-        characters; any number from ENOUGH on stands for itself or more."""
-        left = at = 0
-        while at < len(text) and left < ENOUGH:
-            end = at + BLOCK_CHARS
-            if end < len(text):  # not within a word, if there is another place
-                end = next((i for i in range(end, at + BLOCK_CHARS // 2, -1) if not text[i - 1].isalnum()), end)
-            left += self._block(text[at:end])
-            at = end
-        return left
-
-    def _block(self, text: str) -> int:
-        low, n = text.lower(), len(text)
-        best, came = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for i in range(n):
-            here = best[i]
-            if here + self.CHARACTER < best[i + 1]:
-                best[i + 1], came[i + 1] = here + self.CHARACTER, 1
-            if low[i].isalpha():
-                for j in range(i + 4, min(n, i + self.longest) + 1):
-                    w = low[i:j]
-                    # a word has one case: lower, upper or capital first
-                    if (c := self.cost.get(w)) is not None and here + c < best[j] and (text[i:j] == w or text[i:j] == w.upper() or text[i + 1 : j] == w[1:]):
-                        best[j], came[j] = here + c, j - i
+        """Characters, without separators, that the cheapest segmentation of the whole text
+        leaves to single characters.  All words in the text are found in one pass, so time
+        is linear however long it is."""
+        low, n = _lower(text), len(text)
+        ending: dict[int, list[tuple[int, float]]] = {}
+        for last, word in () if self.empty else self.found.iter(low):
+            size, begin = word[0], last + 1 - word[0]
+            # a word has one case: lower, upper or capital first
+            own, plain = text[begin : last + 1], low[begin : last + 1]
+            if own == plain or own[1:] == plain[1:] or own == plain.upper():
+                ending.setdefault(last + 1, []).append(word)
+        best, came = [0.0] * (n + 1), [1] * (n + 1)
+        for j in range(1, n + 1):
+            cost, step = best[j - 1] + self.CHARACTER, 1
+            for size, bits in ending.get(j, ()):
+                if best[j - size] + bits <= cost:
+                    cost, step = best[j - size] + bits, size
+            best[j], came[j] = cost, step
         left, at = 0, n
         while at:
             step = came[at]
@@ -150,14 +180,22 @@ class Dictionary:
         return left
 
 
+_CAPITALS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    return text.lower() if text.isascii() else text.translate(_CAPITALS)
+
+
 def _usable(value: str, words: Dictionary, weak: bool, bare: bool) -> bool:
-    if len(value) < LEAST_LENGTH or _PLACEHOLDER.search(value) or _LABELLED_HASH.match(value) or _URL.match(value) or value.startswith("data:"):
+    if len(value) < LEAST_LENGTH or _PLACEHOLDER.search(value) or _FILLER.search(value) or _LABELLED_HASH.match(value) or _URL.match(value) or value.startswith("data:"):
         return False
     if any(c.isspace() for c in value) or len(set(value)) < 4:
         return False
     left = words.residual(value)
     if value.startswith(("/", "~/", "./", "../")):  # a path, unless hardly any of it is words
-        return left >= LEAST_WEAK and left > min(len(value) // 2, ENOUGH - 1)
+        return left >= LEAST_WEAK and left > len(value) // 2
     mixed = any(not c.isalpha() for c in value) or any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
     # words with a capital, a sign and any digit are a password; plain names with a digit aren't
     password = bool(re.search("[A-Z]", value) and re.search("[a-z]", value) and re.search("[0-9]", value) and re.search("[^A-Za-z0-9]", value))
@@ -165,6 +203,11 @@ def _usable(value: str, words: Dictionary, weak: bool, bare: bool) -> bool:
     return left >= least and mixed or left >= 10
 
 
+def _announced_digest(text: str, at: int, value: str) -> bool:
+    """Whether a hexadecimal value of a digest's length is given to the name of a digest."""
+    return bool(_HEX_DIGEST.fullmatch(value)) and bool(_DIGEST_LEAD.search(text, max(text.rfind("\n", 0, at), at - 80, 0), at))
+
+
 def _value(m: re.Match) -> tuple[str, list[tuple[int, int]], bool]:
     """The literal of a match, its spans without quotes and scheme word, and whether it is bare."""
     if m.groupdict().get("quoted"):
@@ -172,6 +215,8 @@ def _value(m: re.Match) -> tuple[str, list[tuple[int, int]], bool]:
         for p in _PIECE.finditer(m["quoted"]):
             spans.append((base + p.start() + 1, base + p.end() - 1))
         text = m.string
+        while len(spans) > 1 and _NAME_BEHIND.match(text, spans[-1][1] + 1):
+            spans.pop()
         head = re.match(r"(?i)(?:bearer|basic|token)[ \t]+", text[spans[0][0] : spans[0][1]])
         if head:
             spans[0] = (spans[0][0] + head.end(), spans[0][1])
@@ -206,14 +251,14 @@ def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
 def find(text: str, words: Dictionary) -> list[Case]:
     """Credentials of one text, by position; overlapping ones count once."""
     found: list[Case] = []
-    if not _HINT.search(text):
+    low = _lower(text)
+    if not any(x in low for x in _SIGNS):
         return found
-    low = text.lower()
     for span in _key_blocks(text) if "private key" in low else ():
         found.append(Case(span[0], (span,), "private_key"))
 
     def add(value: str, spans: list[tuple[int, int]], weak: bool, bare: bool, kind: str) -> None:
-        if spans and _usable(value, words, weak, bare):
+        if spans and not _announced_digest(text, spans[0][0], value) and _usable(value, words, weak, bare):
             found.append(Case(spans[0][0], tuple(spans), kind))
 
     for m in _USERINFO.finditer(text) if "://" in text else ():
@@ -234,7 +279,14 @@ def find(text: str, words: Dictionary) -> list[Case]:
             if cell[1] and _STRONG_NAME.search(name):
                 a = m.start("row") + cell.start(1)
                 add(cell[1], [(a, a + len(cell[1]))], False, False, "column")
-    for pattern, weak in CONTEXTS:
+    for m in _PHRASE.finditer(text) if '"' in text or "'" in text else ():
+        parts = m["phrase"].lower().split()
+        if len(parts) >= (3 if "phrase" in m["name"].lower() else 4) and not _SENTENCE & set(parts) and len(set(parts)) > 2 and not _FILLER.search(m["phrase"]):
+            found.append(Case(m.start("phrase"), (m.span("phrase"),), "phrase"))
+    strong = any(x in low for x in _STRONG_SIGNS)
+    for (pattern, weak), signs in zip(CONTEXTS, _CONTEXT_SIGNS):
+        if signs[0] is None and not strong or not all(any(x in low for x in one) for one in signs if one):
+            continue
         for m in pattern.finditer(text):
             value, spans, bare = _value(m)
             # in a query string the value ends at the next parameter
@@ -242,7 +294,7 @@ def find(text: str, words: Dictionary) -> list[Case]:
                 value = value.split("&")[0]
                 spans = [(spans[0][0], spans[0][0] + len(value))]
             add(value, spans, weak, bare, "assigned")
-    for m in _BARE_ISSUED.finditer(text):
+    for m in _BARE_ISSUED.finditer(text) if any(x in low for x in _ISSUED_SIGNS) else ():
         add(m[0], [m.span()], False, True, "issued_token")
     found.sort(key=lambda c: (c.start, -c.spans[-1][1]))
     out: list[Case] = []
@@ -277,22 +329,25 @@ def texts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: What is assigned to a name or stands before the @ of a URL teaches no words.
+_ASSIGNED = r"(?i)(?:pass|pwd|pw|secret|token|key|auth|cred)[\w-]{0,40}[\"'\]]?[ \t]*(?:[:=]=?>?)[ \t]*[\"']?[^\s\"',;]+|://[^\s/@]{1,200}@"
+
+
 def learn_words(all_texts: DataFrame) -> dict[str, int]:
     """Words of all texts with the number of distinct texts that have them.
 
-    Copies of a text count once, else they would make the letters of its own credentials a
-    word.  Only the words of a text travel, under its digest, and each task sends a text
-    once; only the MAX_WORDS most frequent words reach the driver.
+    Copies of a text count once, and what is assigned to a name doesn't count, else the
+    letters of a credential would become a word.  Only the words of a text travel, under
+    its digest, and each task sends a text once; the driver gets the words of WORD_SHARE.
     """
-    digest = F.unhex(F.md5("text"))
-    n = all_texts.select(digest.alias("digest")).distinct().count()
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0), lambda w: F.lower(w)))
-    least = max(WORD_ROWS, math.ceil(n * WORD_SHARE))
-    own = all_texts.select(digest.alias("digest"), F.filter(tokens, lambda w: F.length(w).between(4, 24)).alias("words"))
+    plain = F.regexp_replace("text", _ASSIGNED, " ")
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0), lambda w: F.lower(w)))
+    own = all_texts.select(F.unhex(F.md5("text")).alias("digest"), F.filter(tokens, lambda w: F.length(w).between(4, 24)).alias("words"))
     once = own.where(F.size("words") > 0).groupBy("digest").agg(F.first("words").alias("words"))
-    counted = once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
-    return {r.word: r.n for r in rows}
+    counted = cut(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    every = counted.agg(F.sum("n").alias("n")).first().n or 0
+    least = max(WORD_ROWS, math.ceil(every * WORD_SHARE))
+    return {r.word: r.n for r in counted.where(F.col("n") >= least).toLocalIterator()}
 
 
 def _dictionary(df: DataFrame) -> object:
