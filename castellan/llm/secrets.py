@@ -329,8 +329,9 @@ def texts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-#: What is assigned to a name or stands before the @ of a URL teaches no words.
-_ASSIGNED = r"(?i)(?:pass|pwd|pw|secret|token|key|auth|cred)[\w-]{0,40}[\"'\]]?[ \t]*(?:[:=]=?>?)[ \t]*[\"']?[^\s\"',;]+|://[^\s/@]{1,200}@"
+#: What is assigned to a name or stands before the @ of a URL teaches no words.  The name is
+#: looked for behind each sign of assignment only.
+_ASSIGNED = r":(?://[^\s/@]{1,200}+@)|[:=](?<=(?i:pass|pwd|pw|secret|token|key|auth|cred)[\w-]{0,16}[\"'\]]?[ \t]{0,2}[:=])[=>]*+[ \t]*+[\"']?[^\s\"',;]++"
 
 
 def learn_words(all_texts: DataFrame) -> dict[str, int]:
@@ -343,7 +344,8 @@ def learn_words(all_texts: DataFrame) -> dict[str, int]:
     plain = F.regexp_replace("text", _ASSIGNED, " ")
     tokens = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), 0), lambda w: F.lower(w)))
     own = all_texts.select(F.unhex(F.md5("text")).alias("digest"), F.filter(tokens, lambda w: F.length(w).between(4, 24)).alias("words"))
-    once = own.where(F.size("words") > 0).groupBy("digest").agg(F.first("words").alias("words"))
+    # no filter on words here: pushed below the projection it would find them twice
+    once = own.groupBy("digest").agg(F.first("words").alias("words"))
     counted = cut(once.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     every = counted.agg(F.sum("n").alias("n")).first().n or 0
     least = max(WORD_ROWS, math.ceil(every * WORD_SHARE))

@@ -76,7 +76,7 @@ def test_long_literals_and_texts():
 def test_a_credential_in_many_texts_teaches_no_words(spark):
     rows = [("t", "f", i, f"deploy {i}\npassword=Kwzwux77\nhttps://bot:Trombol7@h/x") for i in range(30)]
     texts = spark.createDataFrame(rows, "src_table string, field_name string, row_key long, text string")
-    assert secrets.learn_words(texts) == {"deploy": 30, "https": 30}
+    assert secrets.learn_words(texts) == {"deploy": 30, "https": 30, "password": 30}
     assert secrets.cases(texts).count() == 60
 
 
