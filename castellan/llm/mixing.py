@@ -29,8 +29,6 @@ from castellan.operators.tables import cut
 #: Documents that one rounding task holds, and residuals that one tree node combines.
 BUCKET_ROWS = 50_000
 FAN_IN = 1_000
-#: Most target rows; the table is a hand-written list of sources.
-MAX_TARGETS = 10_000
 _NEAR = 1e-9
 
 
@@ -78,16 +76,15 @@ def mix(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, vocabulary:
     Sources match without case and outer blanks; documents of no or another source, and
     those without tokens, are not in it.  Target rows with a null or a share that is not
     positive are ignored; of repeated sources shares add up and the least cap holds.
-    Repeated doc_ids are rounded one by one.  No document is used more than max_repeats
+    Repeated and null doc_ids are rounded one by one.  No document is used more than max_repeats
     times.
     """
     named = mix_targets.select(F.lower(trim_blanks(F.col("source"))).alias("source"), "target_share", "max_repeats")
-    targets = named.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("m")).limit(MAX_TARGETS + 1).collect()
-    if len(targets) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} sources")
+    # a hand-written list, held on the driver whole
+    targets = named.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("m")).collect()
     wanted = [(t.source, t.w, t.m) for t in targets]
-    docs = documents.select("doc_id", F.lower(trim_blanks(F.col("source"))).alias("source"), "text").where(F.col("source").isin([s for s, _, _ in wanted]))
-    sized = cut(with_token_counts(docs, vocabulary=vocabulary).where("n_tokens > 0"))
+    docs = documents.select("doc_id", F.lower(trim_blanks(F.col("source"))).alias("source"), F.xxhash64("doc_id", "text").alias("_name"), "text").where(F.col("source").isin([s for s, _, _ in wanted]))
+    sized = cut(with_token_counts(docs, vocabulary=vocabulary).where("n_tokens > 0").withColumn("_row", F.monotonically_increasing_id()))
     totals = {r.source: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     copies = plan({s: r.t for s, r in totals.items()}, wanted)
     whole = {s: int(r + _NEAR) for s, r in copies.items()}
@@ -98,9 +95,12 @@ def mix(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, vocabulary:
         pairs = [F.lit(x) for s in totals for x in (s, values.get(s, 0))]
         return F.create_map(*pairs)[F.col("source")].cast(kind) if pairs else F.lit(0).cast(kind)
 
+    # equal rows are spread by their place once there are too many of them for one bucket
+    many = sized.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS).select(F.col("_name").alias("_many"), F.ceil(F.col("_n") / BUCKET_ROWS).alias("_parts"))
+    sized = sized.join(many, F.col("_name") == F.col("_many"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_row"), "_parts"), F.lit(0).cast("long")))
     level = sized.select(
         "doc_id", "source", "n_tokens", pick(whole, "int").alias("base"), pick(rest, "double").alias("p"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(pick(buckets, "long"), F.lit(1).cast("long"))).alias("bucket"),
+        F.pmod(F.xxhash64("_name", "_salt", F.lit(seed)), F.greatest(pick(buckets, "long"), F.lit(1).cast("long"))).alias("bucket"),
     )
     schema = "doc_id long, source string, n_tokens long, base int, p double, bucket long, last boolean"
 

@@ -21,10 +21,8 @@ from castellan.llm.bpe import DEFAULT_VOCABULARY, Encoder, Words, encoder, slice
 from castellan.llm.tokens import bounded
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, TOKEN_GROUP, CHARACTER = 6, 5, 4, 3, 2, 1, 0
-#: A piece that is cut holds at least this share of its limit, so far as that is possible.
+#: A piece that is cut holds at least this share of its limit, unless only less ends naturally.
 LEAST_FILL = 0.5
-#: Most rows of the limits table; it is a hand-written list of kinds.
-MAX_KINDS = 10_000
 _ENDS = np.frombuffer(".!?。！？…।؟".encode("utf-32-le"), np.uint32)
 _PAUSES = np.frombuffer(",;:，、；：".encode("utf-32-le"), np.uint32)
 _CLOSERS = np.frombuffer("\"')]}»”’」』）".encode("utf-32-le"), np.uint32)
@@ -131,6 +129,12 @@ def cut_texts(enc: Encoder, data: np.ndarray, start: np.ndarray, most: np.ndarra
         lo = np.where(cut_token[np.minimum(lo, n - 1)] <= begin, bare, lo)
         hi = np.maximum(np.where(stuck, bare, hi), lo)
         best = index.query(lo, hi) % (n + 1)
+        # nothing natural in the upper part of the window: the lower part, down to the overlap, may have it
+        low = np.searchsorted(cut_token, np.maximum(begin + np.minimum(lap, limit - 1), floor), "right")
+        poor = np.flatnonzero((power[best] < WORD) & (low < lo) & ~final)
+        if len(poor):
+            lower = index.query(low[poor], lo[poor] - 1) % (n + 1)
+            best[poor] = np.where(power[lower] >= WORD, lower, best[poor])
         stop = np.where(final, end, cut_token[best])
         stop_byte = np.where(final, start[text + 1], cut_byte[best])
         # cutting inside a word may change its tokens, so each piece is encoded on its own
@@ -194,10 +198,11 @@ def piece_sizes(enc: Encoder, data: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 
 def limits_of(chunk_limits: DataFrame) -> dict[str, tuple[int, int]]:
-    rows = chunk_limits.where("doc_kind is not null and max_tokens > 0").groupBy("doc_kind").agg(F.min("max_tokens").alias("m"), F.max(F.coalesce("overlap_tokens", F.lit(0))).alias("o")).limit(MAX_KINDS + 1).collect()
-    if len(rows) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds")
-    return {r.doc_kind: (r.m, r.o) for r in rows}
+    """Limit and overlap by kind, without case and outer blanks; of several rows the least
+    limit and the greatest overlap.  A hand-written list, held on the driver whole."""
+    kind = F.lower(trim_blanks(F.col("doc_kind")))
+    rows = chunk_limits.where("max_tokens > 0").groupBy(kind.alias("k")).agg(F.min("max_tokens").alias("m"), F.max(F.coalesce("overlap_tokens", F.lit(0))).alias("o")).where("k is not null").collect()
+    return {r.k: (r.m, r.o) for r in rows}
 
 
 def pieces(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -205,8 +210,9 @@ def pieces(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFA
 
     (doc_id, piece_no, start_char, end_char, n_tokens, overlap_tokens, piece): n_tokens is
     that of the piece encoded on its own and at most max_tokens; overlap_tokens is the size
-    of the text shared with the piece before, other than asked only where no character
-    ends at the exact token.  Null, empty and small texts give no pieces; a null or unlisted kind takes the
+    of the text shared with the piece before; it differs from the one asked where neither
+    the place that many tokens back in the whole text nor a place up to two characters'
+    ends beside it gives that size on its own.  Null, empty and small texts give no pieces; a null or unlisted kind takes the
     row 'default'; without that row such texts stay whole.  An overlap not below the limit
     counts as limit - 1.  A single character of more tokens than the limit stays whole.
     """

@@ -60,3 +60,16 @@ def test_mix_without_rows(spark):
     some = spark.createDataFrame([(1, "a", "x y z")], "doc_id long, source string, text string")
     assert mixing.mix(some, targets.limit(0)).count() == 0
     assert mixing.mix(some, targets).first().copies == 2
+
+
+def test_equal_rows_share_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 25)
+    largest = []
+    monkeypatch.setattr(mixing, "cut", lambda df, real=mixing.cut: largest.append(df) or real(df))
+    docs = spark.createDataFrame([(None, "a", "x y z")] * 600 + [(i, "a", "x y") for i in range(200)] + [(i, "b", "u v w") for i in range(500)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.35, 1), ("b", 0.65, 1)], TARGETS)
+    mixed = mixing.mix(docs, targets)
+    share = {r.source: r.actual_share for r in mixing.shares(mixed, targets).collect()}
+    assert share["a"] == pytest.approx(0.35, abs=0.01)
+    first = largest[1]  # rows of the first level, with their buckets
+    assert first.where("source = 'a'").groupBy("bucket").count().agg({"count": "max"}).first()[0] < 100

@@ -61,3 +61,14 @@ def test_cuts_are_natural(spark):
     assert len(pieces) > 10 and all(p.endswith("\n\n") for p in pieces)
     none = splitting.pieces(docs, limits.where("doc_kind is null"))  # no limit for the kind: whole
     assert none.count() == 0 and splitting.pieces(docs.limit(0), limits).count() == 0
+
+
+def test_a_natural_end_before_half_of_the_limit_is_better_than_none(spark):
+    text = "Some words to begin with, and an end.\n" + "q7x" * 400 + "\nAnother line.\n"
+    docs = spark.createDataFrame([(1, text, None), (2, "q7x" * 400, None)], "doc_id long, text string, doc_kind string")
+    limits = spark.createDataFrame([(" Default", 60, 4)], "doc_kind string, max_tokens int, overlap_tokens int")
+    got = splitting.pieces(docs, limits).orderBy("doc_id", "piece_no").collect()
+    assert got[0].piece == "Some words to begin with, and an end.\n" and all(r.n_tokens <= 60 for r in got) and {r.doc_id for r in got} == {1, 2}
+    for i in (1, 2):
+        ps = [r for r in got if r.doc_id == i]
+        assert all(a.start_char < b.start_char <= a.end_char < b.end_char for a, b in zip(ps, ps[1:])) and ps[-1].end_char == len((text, "q7x" * 400)[i - 1])
