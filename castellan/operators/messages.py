@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from castellan.functions.datetimes import instant_micros
 from castellan.functions.text import not_blank, session_key, trim_blanks
+from castellan.operators.tables import cut
 
 #: Lines of a file that one fill group holds; files of any length split into such blocks.
 BLOCK_LINES = 4096
@@ -51,27 +52,22 @@ def with_instants(kept: DataFrame, ts: str = "_ts") -> DataFrame:
     it in its file that has one; null where there is none.
 
     ``ts`` is a column of instants made by :func:`instant_of`.  Inside a block of lines a
-    running window fills; what a block hands on is one row per block, so no window ever
-    runs over all rows of a long file.
+    running window fills, and the rows are written once, so that the input is read and
+    shuffled once.  What a block hands on is one row per block, so no window ever runs over
+    all rows of a long file; only rows still without an instant are joined with it.
     """
     block = Window.partitionBy("session_key", "src_path", "_block").orderBy("line_no")
-    filled = kept.withColumn("instant", F.last(ts, ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = kept.groupBy("session_key", "src_path", "_block").agg(
-        F.max_by(ts, F.when(F.col(ts).isNotNull(), F.col("line_no"))).alias("_last"),
-        F.max(F.when(F.col(ts).isNull(), 1)).alias("_gap"),
-    )
+    filled = cut(kept.withColumn("instant", F.last(ts, ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, 0))).drop(ts))
+    ends = filled.groupBy("session_key", "src_path", "_block").agg(F.max_by("instant", "line_no").alias("_last"), F.max(F.col("instant").isNull()).alias("_gap"))
     before = Window.partitionBy("session_key", "src_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         ends.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-        .where("_gap = 1 and _carry is not null")
+        .where("_gap and _carry is not null")
         .select(F.col("session_key").alias("_k"), F.col("src_path").alias("_p"), F.col("_block").alias("_b"), "_carry")
     )
     same = (F.col("session_key") == F.col("_k")) & F.col("src_path").eqNullSafe(F.col("_p")) & (F.col("_block") == F.col("_b"))
-    return (
-        filled.join(carry, same, "left")
-        .withColumn("instant", F.coalesce("instant", "_carry"))
-        .drop("_k", "_p", "_b", "_carry", ts)
-    )
+    late = filled.where("instant is null").join(carry, same, "left").withColumn("instant", F.col("_carry"))
+    return filled.where("instant is not null").unionByName(late.select(filled.columns))
 
 
 def instant_of() -> Column:
