@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from castellan.functions.text import not_blank, session_key, trim_blanks
 from castellan.operators.messages import is_call, kept_rows, role
+from castellan.operators.tables import cut
 
 CALLS, SESSIONS = "calls", "sessions"
 
@@ -26,11 +27,12 @@ def references(messages: DataFrame, results: DataFrame, findings: DataFrame, fil
     Blank references are no references; a row without a session key refers to nothing
     that exists.
     """
-    kept = kept_rows(
+    # parents and children come from the same rows, and children are read twice: written once
+    kept = cut(kept_rows(
         messages.withColumn("_role", role()),
         F.when(is_call(F.col("_role")), trim_blanks(F.col("content_id"))).alias("call"),
         F.nullif(trim_blanks(F.col("tool_use_id")), F.lit("")).alias("ref"),
-    )
+    ).where("call is not null or ref is not null").drop("src_path", "line_no", "_block"))
     none = F.lit(None).cast("string")
     never = F.lit(None).cast("timestamp")
     parents = (
