@@ -22,12 +22,13 @@ def role() -> Column:
     return F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[said]
 
 
-def kept_rows(messages: DataFrame, *columns: Column) -> DataFrame:
+def kept_rows(messages: DataFrame, *columns: Column, ties: bool = False) -> DataFrame:
     """One row per session key, src_path and line_no: the latest delivery.
 
     Greatest ingest_ts wins, then greatest row_id; a null ingest_ts loses to any other.
     Rows that name no session are dropped; null src_path or line_no are values of their
     own.  ``columns`` (aliased) are computed before the shuffle, so only they travel.
+    With ``ties``, ``_tied`` says that another row has the same ingest_ts and row_id.
     Distribution is by (session key, file, block of lines): a file or session that holds
     a large share of all rows still spreads over many tasks.
     """
@@ -44,6 +45,9 @@ def kept_rows(messages: DataFrame, *columns: Column) -> DataFrame:
         F.col("ingest_ts").desc_nulls_last(), F.col("row_id").desc()
     )
     rows = rows.repartition("session_key", "src_path", "_block")
+    if ties:
+        next_ = F.lead(F.struct("ingest_ts", "row_id")).over(best)
+        rows = rows.withColumn("_tied", F.coalesce(next_.eqNullSafe(F.struct("ingest_ts", "row_id")), F.lit(False)))
     return rows.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
 
 

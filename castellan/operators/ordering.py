@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +24,9 @@ def in_order(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def numbered(df: DataFrame, key: str, *order: str, name: str = "seq") -> DataFrame:
-    """Adds a 0-based number per ``key`` in the given order.
-
-    Equals row_number() - 1 over a window, but a key with a third of all rows does not
-    land in one task.  Ties in ``order`` get any order; make it unique.
-    """
+def counted(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df`` in order and written once, with the task of each row (``_pid``) and its 0-based
+    place among the rows of its key in that task (``_pos``)."""
     schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_pos", T.LongType())])
     at = df.columns.index(key)
 
@@ -56,12 +53,17 @@ def numbered(df: DataFrame, key: str, *order: str, name: str = "seq") -> DataFra
                 names=[*b.schema.names, "_pid", "_pos"],
             )
 
-    fixed = cut(in_order(df, key, *order).mapInArrow(count, schema))
-    sizes = fixed.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
+    return cut(in_order(df, key, *order).mapInArrow(count, schema))
+
 
+def with_numbers(fixed: DataFrame, key: str, name: str = "seq") -> DataFrame:
+    """Rows of :func:`counted` with a 0-based number per ``key`` instead of ``_pid`` and ``_pos``.
+
+    Only keys that reach over a border have an offset: at most one a task, so what is
+    broadcast is bounded by the number of tasks.
+    """
+    sizes = fixed.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # only keys that reach over a border have an offset: at most one per partition
     offsets = (
         sizes.withColumn("_off", F.sum("_n").over(w))
         .where("_off is not null")
@@ -72,3 +74,12 @@ def numbered(df: DataFrame, key: str, *order: str, name: str = "seq") -> DataFra
         .withColumn(name, F.col("_pos") + F.coalesce("_off", F.lit(0)))
         .drop("_pid", "_pos", "_key", "_part", "_off")
     )
+
+
+def numbered(df: DataFrame, key: str, *order: str, name: str = "seq") -> DataFrame:
+    """Adds a 0-based number per ``key`` in the given order.
+
+    Equals row_number() - 1 over a window, but a key with a third of all rows does not
+    land in one task.  Ties in ``order`` get any order; make it unique.
+    """
+    return with_numbers(counted(df, key, *order), key, name)
