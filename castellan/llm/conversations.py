@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castellan.functions.text import not_blank
+from castellan.functions.text import not_blank, session_key
 from castellan.operators.messages import instant_of, is_call, kept_rows, role, with_instants
-from castellan.operators.ordering import in_order, numbered
+from castellan.operators.ordering import counted, in_order, with_numbers
+from castellan.operators.tables import cut
 
 # Events of the automaton
 NO_ROLE, SYSTEM, PROMPT, EMPTY_PROMPT, RESULT, REPLY, SILENT, EMPTY = range(8)
@@ -69,14 +70,17 @@ def event() -> F.Column:
     )
 
 
-def placed(messages: DataFrame, *columns) -> DataFrame:
+def placed(messages: DataFrame, *columns, ties: bool = False) -> DataFrame:
     """Kept rows with their event and instant."""
     rows = messages.withColumn("_role", role())
     facts = rows.withColumns({"_body": not_blank(F.col("body")), "_ref": not_blank(F.col("tool_use_id")), "_call": F.coalesce(is_call(F.col("_role")), F.lit(False))})
-    kept = kept_rows(facts, event().cast("tinyint").alias("event"), instant_of(), *columns)
+    kept = kept_rows(facts, event().cast("tinyint").alias("event"), instant_of(), *columns, ties=ties)
     return with_instants(kept.drop("ingest_ts"))
 
 
+PIECE = "session_key string, piece int, effect binary, border boolean"
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(session_key, piece, effect, reaches over a border) of each conversation in a task."""
     from pyspark import TaskContext
@@ -124,7 +128,7 @@ def final_states(events: DataFrame) -> DataFrame:
     Pieces at the border of a task are at most two a task; only they are grouped.
     """
     ordered = in_order(events.select("session_key", "instant", "src_path", "line_no", "event"), "session_key", "instant", "src_path", "line_no")
-    parts = ordered.select("session_key", "event").mapInArrow(_pieces, "session_key string, piece int, effect binary, border boolean")
+    parts = ordered.select("session_key", "event").mapInArrow(_pieces, PIECE)
     return _folded(parts)
 
 
@@ -158,16 +162,39 @@ def dropped(events: DataFrame) -> DataFrame:
     return bad.unionByName(files_with_gaps(events)).distinct()
 
 
+#: What a row says, beside its place.
+TEXTS = ("content_id", "tool_name", "tool_input", "tool_use_id", "body")
+
+
+def _names(*columns: str) -> list:
+    """128 bits that stand for the columns; nulls are values of their own."""
+    facts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(i), *facts).alias(f"name{i}") for i in range(2)]
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """Rows of the conversations that stay: session_key, turn (0-based, in order),
     speaker, instant, row_id, content_id, tool_name, tool_input, tool_use_id, body.
 
-    Rows without a role can't occur here.  A null body stays null.  Extra columns of the
-    input, whatever their names, have no part.
+    Rows without a role can't occur here.  A null body stays null.  Rows are kept, ordered,
+    judged and numbered by their keys alone; one join brings the texts of those that stay.
+    Of deliveries that are equal in place, ingest_ts and row_id any one counts.  Extra
+    columns of the input, whatever their names, have no part.
     """
-    texts = ["content_id", "tool_name", "tool_input", "tool_use_id", "body"]
-    rows = placed(messages, F.col("_role").alias("speaker"), *(F.col(c) for c in texts))
-    gone = dropped(placed(messages))
-    kept = rows.join(gone, "session_key", "left_anti")
-    out = numbered(kept.drop("_block", "event"), "session_key", "instant", "src_path", "line_no", name="turn")
-    return out.select("session_key", "turn", "speaker", F.timestamp_micros("instant").alias("spoken_at"), "row_id", *texts)
+    rows = placed(messages, F.col("_role").alias("speaker"), F.col("ingest_ts").alias("sent_at"), ties=True)
+    order = ("session_key", "instant", "src_path", "line_no")
+    ordered = counted(rows.select(*order, "event", "_block", "row_id", "speaker", "sent_at", "_tied"), *order)
+    # tasks keep their rows and order, so the automaton reads them where they lie
+    parts = cut(ordered.select("session_key", "event").mapInArrow(_pieces, PIECE))
+    bad = _folded(parts).where(F.col("state") != GOOD).select("session_key").unionByName(files_with_gaps(ordered)).distinct()
+    # a conversation leaves piece by piece, so a hot one is no single key of the join
+    gone = ordered.groupBy("session_key", "_pid").agg(F.count(F.lit(1)).alias("_n")).join(bad, "session_key").select("session_key", "_pid")
+    stay = with_numbers(ordered.join(gone, ["session_key", "_pid"], "left_anti"), "session_key", name="turn")
+    left = stay.select("session_key", "turn", "speaker", "instant", "row_id", *_names("session_key", "src_path", "line_no", "sent_at"))
+    key = session_key(F.col("session_id"), F.col("src_path")).alias("session_key")
+    said = messages.select(key, "src_path", "line_no", "ingest_ts", F.col("row_id").alias("_id"), *TEXTS).where("session_key is not null")
+    said = said.select("_id", *(n.alias(f"_{i}") for i, n in enumerate(_names("session_key", "src_path", "line_no", "ingest_ts"))), *TEXTS)
+    same = F.col("row_id").eqNullSafe(F.col("_id")) & (F.col("name0") == F.col("_0")) & (F.col("name1") == F.col("_1"))
+    out = left.join(said, same).select("session_key", "turn", "speaker", F.timestamp_micros("instant").alias("spoken_at"), "row_id", *TEXTS)
+    # equal deliveries meet each other: only then is there anything to drop
+    return out.dropDuplicates(["session_key", "turn"]) if not ordered.where("_tied").isEmpty() else out

@@ -136,3 +136,14 @@ def test_symbols_skip_surrogates():
 
     text = repeats.symbols(np.arange(600_000) % 70_000)
     assert len(text) == 600_000 and len(set(text)) == 70_000 and repeats.spans("aabbb") == [(0, 2), (2, 5)]
+
+
+def test_equal_deliveries_give_one_turn(spark):
+    row = {"session_id": "s", "src_path": "/s.jsonl", "ts_text": "2025-01-01T00:00:00Z", "ingest_ts": T0}
+    ask, answer = row | {"line_no": 0, "msg_role": "user", "body": "q"}, row | {"line_no": 1, "msg_role": "assistant", "body": "a"}
+    for ids in ({"row_id": None}, {"row_id": 7}):
+        rows = [ask | ids, ask | ids, answer | {"row_id": 8}, answer | {"row_id": 8, "ingest_ts": T0 - dt.timedelta(days=1), "body": "older"}]
+        got = conversations.conversations(messages(spark, rows)).collect()
+        assert sorted((r.turn, r.speaker, r.body) for r in got) == [(0, "user", "q"), (1, "assistant", "a")]
+    nowhere = [r | {"line_no": None, "ts_text": None} for r in (ask, answer)]
+    assert conversations.conversations(messages(spark, nowhere)).count() == 0
