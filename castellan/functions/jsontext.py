@@ -52,6 +52,8 @@ def _no_constant(name: str) -> None:
 
 
 _DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=_whole, parse_float=_real, strict=True)
+#: The same, but NaN and Infinity are numbers.
+_LENIENT = json.JSONDecoder(parse_int=_whole, parse_float=_real, strict=True)
 #: JSON types of values as they are read (null has none).
 KINDS = {str: "string", bool: "boolean", int: "number", float: "number", Number: "number", dict: "object", list: "array"}
 
@@ -60,12 +62,12 @@ def kind_of(value: object) -> str | None:
     return KINDS.get(type(value))
 
 
-def parse(text: str) -> object:
+def parse(text: str, lenient: bool = False) -> object:
     """The value of an RFC 8259 text; ValueError for anything else.  Of repeated names the
-    last counts."""
+    last counts.  NaN and Infinity pass where ``lenient``."""
     body = text.strip(_BLANK)
     try:
-        value, end = _DECODER.raw_decode(body)
+        value, end = (_LENIENT if lenient else _DECODER).raw_decode(body)
     except RecursionError:
         return _parse_deep(body)
     if end != len(body):

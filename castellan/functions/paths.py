@@ -9,6 +9,13 @@ from castellan.functions.binding import let
 from castellan.rules.catalog import DEVICES, NO_HOME, SCRATCH, SENSITIVE
 
 
+def posix_path_column(c: Column) -> Column:
+    """Windows drives and shares as absolute POSIX paths, anything else as it is."""
+    tail = F.replace(F.regexp_replace(F.substr(c, F.lit(3)), r"^[\\/]+", ""), F.lit("\\"), F.lit("/"))
+    share = F.concat(F.lit("//"), F.replace(F.substr(c, F.lit(3)), F.lit("\\"), F.lit("/")))
+    return F.when(c.rlike(r"^[A-Za-z]:[\\/]"), F.concat(F.lit("/"), F.lower(F.left(c, F.lit(1))), F.lit("/"), tail)).when(c.startswith("\\\\"), share).otherwise(c)
+
+
 def normal(p: Column) -> Column:
     """POSIX normal form of an absolute path; exactly two leading slashes stay."""
     empty = F.lit(None).cast("array<string>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castellan.functions.paths import posix_path_column
 from castellan.rules import catalog as C
 
 
@@ -59,7 +60,7 @@ def homes(events: DataFrame) -> DataFrame:
     cwds = events.where("kind = 'event' and cwd is not null").groupBy("session_key", "cwd").agg((-F.count(F.lit(1))).cast("long").alias("a"), F.min("event_index").cast("long").alias("b"))
     parsed = events.where("kind = 'call'").withColumn("_v", F.try_parse_json("input_json"))
     fields = F.array(*(F.try_variant_get("_v", f"$.{n}", "string") for n in C.PATH_FIELDS))
-    named = parsed.select("session_key", F.col("event_index").cast("long").alias("a"), F.col("block").cast("long").alias("b"), F.posexplode(fields).alias("c", "path"))
+    named = parsed.select("session_key", F.col("event_index").cast("long").alias("a"), F.col("block").cast("long").alias("b"), F.posexplode(F.transform(fields, posix_path_column)).alias("c", "path"))
     found = (
         cwds.select("session_key", F.lit(0).alias("tier"), "a", "b", F.lit(0).alias("c"), home(F.col("cwd")).alias("home"))
         .unionByName(named.select("session_key", F.lit(1).alias("tier"), "a", "b", "c", home(F.col("path")).alias("home")))

@@ -124,7 +124,7 @@ def tail_newest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_predicates(spark: SparkSession, d: str) -> DataFrame:
-    p = paths.normal(transcripts.posix_path_column(F.col("file_path")))
+    p = paths.normal(paths.posix_path_column(F.col("file_path")))
     return table(spark, d, "tool_results").where(F.col("file_path").startswith("/")).select(
         "result_id", p.alias("path"), paths.is_sensitive(F.col("file_path")).alias("sensitive"), paths.is_scratch(F.col("file_path")).alias("scratch"), paths.is_device(F.col("file_path")).alias("device")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castellan.functions import lexers
+from castellan.functions.paths import posix_path_column
 from castellan.operators.sessions import first_string
 from castellan.rules import catalog as C
 
@@ -43,9 +44,7 @@ def findings(rows: DataFrame, rule_id: str, hits: Column) -> DataFrame:
 def prepared_calls(calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """Calls with what rules read of them: command with and without heredoc bodies, path,
     URL, MCP parts, and the root and home of their session."""
-    # mcp paths may be of Windows; files were rewritten when the call was read
-    from castellan.sources.transcripts import posix_path_column
-
+    # paths may be of Windows
     kind, v = F.col("tool_kind"), F.col("_v")
     none = F.array().cast("array<string>")
     # one projection per step: the input is parsed once, not once per field
@@ -56,7 +55,7 @@ def prepared_calls(calls: DataFrame, sessions: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "cmd_raw": F.when(kind == "bash", first_string(v, "command")).otherwise(""),
-                "file": F.when(kind.isin("read", "write", "edit"), first_string(v, *C.PATH_FIELDS)).otherwise(""),
+                "file": F.when(kind.isin("read", "write", "edit"), posix_path_column(first_string(v, *C.PATH_FIELDS))).otherwise(""),
                 "_url": F.when(kind == "web", first_string(v, "url", "query")).otherwise(""),
                 "mcp_paths": F.coalesce(F.transform("_mcp.paths", posix_path_column), none),
                 "mcp_cmd": F.coalesce("_mcp.command", F.lit("")),

@@ -113,17 +113,17 @@ def test_reports(spark, tmp_path):
     write(tmp_path / "b.jsonl", [call("ls")])
     done = audit.scan(spark, [tmp_path])
     done = done._replace(findings=cut(done.findings), results=cut(done.results))
-    doc = json.loads(report.render_json(done))
+    doc = json.loads("".join(report.render_json(done)))
     first = doc["sessions"][0]
     assert first["path"] == p and first["counts"] == {"info": 0, "low": 0, "medium": 1, "high": 1, "critical": 0} and first["grade"] == "C"
     assert [(f["rule_id"], f["severity"], f["occurrences"], f["also_at"]) for f in first["findings"]] == [("SXR-006", "high", 2, [1]), ("SXR-004", "medium", 1, [])]
     assert doc["sessions"][1]["first_ts"] is None and first["network_hosts"] == ["h.example.org"]
-    human = report.render_human(done, color=False)
+    human = "".join(report.render_human(done, color=False))
     assert "Uses sudo  (seen 2x)" in human and "event #0 (Bash), also at #1" in human and "outbound hosts contacted: h.example.org" in human and "No findings." in human
-    assert "\033[31m" in report.render_human(done)
-    plain = report.render_summary(done, color=False).split("\n")
+    assert "\033[31m" in "".join(report.render_human(done))
+    plain = "".join(report.render_summary(done, color=False)).split("\n")
     assert len(plain) == 2 and plain[0].startswith("  C ( 76/100)  1 high, 1 medium ") and plain[1].split("  ")[2].strip() == "clean"
-    assert report.render_summary(done, color=False, sort="path").split("\n") == plain and report.render_summary(done, color=False, min_grade="F").endswith("graded F or worse.")
+    assert "".join(report.render_summary(done, color=False, sort="path")).split("\n") == plain and "".join(report.render_summary(done, color=False, min_grade="F")).endswith("graded F or worse.")
     one = {r.session_key: json.loads(r.document) for r in report.session_documents(done).collect()}
     assert one[p]["grade_score"] == 76 and one[p]["findings"][0]["title"] == "Uses sudo" and "last_ts" in one[str(tmp_path / "b.jsonl")]
 
