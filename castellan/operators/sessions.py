@@ -79,6 +79,7 @@ def sessions(events: DataFrame, project_root: str | None = None) -> DataFrame:
         F.count_if(is_("result") & F.col("truncated")).alias("truncated_results"),
         F.min_by("ts", F.when(is_("event") & F.col("ts").isNotNull(), F.col("event_index"))).alias("first_ts"),
         F.max_by("ts", F.when(is_("event") & F.col("ts").isNotNull(), F.col("event_index"))).alias("last_ts"),
+        F.max("event_index").alias("last_event"),
         F.min_by("session_id", F.when(is_("event") & F.col("session_id").isNotNull(), F.col("event_index"))).alias("_sid"),
     )
     stem = F.regexp_extract("session_key", r"([^/]*?)(?:\.[^./]*)?$", 1)

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from castellan.functions import evidence, hosts, lexers, paths
 from castellan.functions.text import session_key
 from castellan.operators import grading, sessions
-from castellan.operators.tables import cut
-from castellan.plans.audit import audit_events
+from castellan.operators.tables import cut, stored
+from castellan.plans.audit import audit_events, egress_of, inputs
 from castellan.plans.load import table
 from castellan.plans.records_sql import KEPT, filled, session_key_sql, trimmed
 from castellan.rules import catalog as C
-from castellan.rules import simple
-from castellan.rules.base import prepared_calls
+from castellan.rules import shell, simple
+from castellan.rules.base import findings
 from castellan.sources import transcripts
 
 
@@ -28,10 +28,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.events_of_messages(table(spark, d, "session_messages"))
 
 
-def _calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    events = cut(_events(spark, d))
-    per = sessions.sessions(events)
-    return prepared_calls(sessions.calls(events), per), sessions.results(events), per
+def _inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    events = stored(_events(spark, d))
+    return inputs(events, cut(sessions.sessions(events)))
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +55,11 @@ def home_folders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.sessions(cut(_events(spark, d)))
+    return sessions.sessions(stored(_events(spark, d))).drop("last_event")
 
 
 def session_counters(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.sessions(cut(_events(spark, d))).select("session_key", "event_count", "tool_call_count", "truncated_results", "first_ts", "last_ts")
+    return sessions.sessions(stored(_events(spark, d))).select("session_key", "event_count", "tool_call_count", "truncated_results", "first_ts", "last_ts")
 
 
 def correlated_results(spark: SparkSession, d: str) -> DataFrame:
@@ -73,12 +72,12 @@ def url_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contacted_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return simple.contacted_hosts(_calls(spark, d)[0])
+    return simple.contacted_hosts(egress_of(_events(spark, d)))
 
 
 def _rule(rule):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        found = rule(*_calls(spark, d))
+        found = findings([rule], _inputs(spark, d))
         return evidence.with_evidence(found).drop("emit", "remediation", "detail", "category")
 
     return query
@@ -131,8 +130,8 @@ def path_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def command_segments(spark: SparkSession, d: str) -> DataFrame:
-    calls = _calls(spark, d)[0].where("cmd <> ''")
-    return calls.select("session_key", "event_index", F.posexplode(lexers.segments(F.col("cmd"))).alias("place", "s")).select("session_key", "event_index", "place", "s.text", "s.masked")
+    calls = _inputs(spark, d)["calls"].where("tool_kind = 'bash' and cmd <> ''")
+    return calls.select("session_key", "event_index", F.posexplode("segments").alias("place", "s")).select("session_key", "event_index", "place", "s.text", "s.masked")
 
 
 def hidden_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -141,22 +140,22 @@ def hidden_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_findings(spark: SparkSession, d: str) -> DataFrame:
-    return audit_events(cut(_events(spark, d))).findings.drop("emit")
+    return audit_events(stored(_events(spark, d))).findings.drop("emit")
 
 
 def rule_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = audit_events(cut(_events(spark, d))).findings
+    found = audit_events(stored(_events(spark, d))).findings
     return found.groupBy("rule_id", "title", "severity").agg(F.count(F.lit(1)).alias("findings"), F.sum("occurrences").alias("occurrences"))
 
 
 def fleet_summary(spark: SparkSession, d: str) -> DataFrame:
-    return grading.summary_lines(audit_events(cut(_events(spark, d))).results)
+    return grading.summary_lines(audit_events(stored(_events(spark, d))).results)
 
 
 def session_reports(spark: SparkSession, d: str) -> DataFrame:
     from castellan.plans.report import session_documents
 
-    done = audit_events(cut(_events(spark, d)))
+    done = audit_events(stored(_events(spark, d)))
     return session_documents(done._replace(findings=cut(done.findings)))
 
 
@@ -166,10 +165,13 @@ QUERIES = {
         tool_kinds, majority_cwd, home_folders, session_attributes, session_counters, correlated_results, url_hosts, contacted_hosts, redacted_documents, shortened_evidence, first_wins, collapsed_findings,
         severity_counts, graded_sessions, min_grade, fail_on, tail_newest, path_predicates, command_segments, hidden_texts, audit_findings, rule_counts, fleet_summary, session_reports,
     )
-} | {f"rule_{n}": _rule(r) for n, r in (("network", simple.network), ("remote_code", simple.remote_code), ("persistence", simple.persistence), ("injection", simple.injection))}
-from castellan.rules import shell  # noqa: E402
-
-QUERIES |= {f"rule_{r.__name__}": _rule(r) for r in (shell.filesystem, shell.destructive, shell.credentials)}
+} | {
+    f"rule_{n}": _rule(r)
+    for n, r in (
+        ("integrity", simple.integrity), ("filesystem", shell.filesystem), ("destructive", shell.destructive), ("credentials", shell.credentials),
+        ("network", simple.network), ("remote_code", simple.remote_code), ("persistence", simple.persistence), ("injection", simple.injection),
+    )
+}
 
 # -- SQL -----------------------------------------------------------------------------------
 

@@ -7,15 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castellan.sources.transcripts import numbered_lines, split_lines
+
 
 def default_log() -> str:
     return os.environ.get("CASTELLAN_HISTORY_LOG") or os.path.join(os.path.expanduser("~"), ".castellan", "history.log")
 
 
 def newest_first(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """(seq, entry) of the lines that aren't blank, newest first; a positive limit keeps so many."""
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("seq", "entry")).where(F.length(F.trim("entry")) > 0).orderBy(F.desc("seq"))
+    """(seq, entry) of the lines that aren't blank, newest first; a positive limit keeps so
+    many.  ``seq`` numbers the lines of the file; a line may hold several entries, parted
+    by other signs that end lines.  The log is read in splits."""
+    lines = numbered_lines(split_lines(spark.read.option("lineSep", "\n").text(path)))
+    parts = F.posexplode(F.split(F.expr("make_valid_utf8(cast(line as string))"), "[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
+    rows = lines.select("event_index", parts.alias("part", "entry")).where(F.length(F.trim("entry")) > 0)
+    rows = rows.orderBy(F.desc("event_index"), F.desc("part")).select(F.col("event_index").alias("seq"), "entry")
     return rows.limit(limit) if limit > 0 else rows
 
 

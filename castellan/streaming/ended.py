@@ -15,40 +15,37 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from castellan.operators import grading
-from castellan.operators.tables import cut
+from castellan.operators.tables import cut, stored
 from castellan.plans.audit import audit_events
 from castellan.sources import history, transcripts
 
 
-def ended_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of (path) of finished transcripts."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+#: Files of one micro-batch.
+FILES_PER_BATCH = 1000
 
 
-def audit_ended(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool = False) -> StreamingQuery:
+def ended_files(spark: SparkSession, folder: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Stream of (path, split, line) of finished transcripts: the lines of each file, with
+    the start of the split they lie in."""
+    read = spark.readStream.format("text").option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return transcripts.split_lines(read)
+
+
+def audit_ended(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[DataFrame, int], None], once: bool = False, files_per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
     """Audits every new file; ``sink`` gets (session_key, line, ...) of each micro-batch.
 
+    A batch holds whole files, at most ``files_per_batch``, and is audited as it comes.
     Results depend on one file only, so there is no state between batches.  A batch may be
     repeated after a failure: a sink should be idempotent by its batch id.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        # the files of one micro-batch; their number is set by maxFilesPerTrigger
-        paths = sorted(local_path(r.path) for r in batch.select("path").collect())
-        if paths:
-            events = cut(transcripts.events(transcripts.lines(batch.sparkSession, paths)))
-            done = audit_events(events)
-            sink(grading.summary_lines(done.results), number)
-
-    writer = ended_files(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+        events = stored(transcripts.events(transcripts.numbered_lines(cut(batch))))
+        done = audit_events(events)
+        sink(grading.summary_lines(done.results), number)
 
-
-def local_path(uri: str) -> str:
-    from urllib.parse import unquote, urlparse
-
-    return unquote(urlparse(uri).path)
+    writer = ended_files(spark, folder, files_per_batch).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def to_history(path: str, reason: str = "ended") -> Callable[[DataFrame, int], None]:
