@@ -89,9 +89,13 @@ def summary_lines(results: DataFrame) -> DataFrame:
     return results.select("session_key", line.alias("line"), "worst", "grade_score", "grade")
 
 
-def in_fleet_order(results: DataFrame, by_path: bool = False) -> DataFrame:
+def fleet_order(by_path: bool = False) -> list[Column]:
     """Worst session first; sessions without findings last; or by path."""
-    return results.orderBy("session_key") if by_path else results.orderBy(F.coalesce(-F.col("worst"), F.lit(1)), "grade_score", "session_key")
+    return [F.col("session_key")] if by_path else [F.coalesce(-F.col("worst"), F.lit(1)), F.col("grade_score"), F.col("session_key")]
+
+
+def in_fleet_order(results: DataFrame, by_path: bool = False) -> DataFrame:
+    return results.orderBy(*fleet_order(by_path))
 
 
 def at_least(results: DataFrame, grade: str | None) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from castellan.plans import audits, records, records_sql
+from castellan.plans import audits, records, records_sql, worked
 
-QUERIES = audits.QUERIES | records.QUERIES
-SQL: dict[str, str] = audits.SQL | records_sql.SQL
+QUERIES = audits.QUERIES | worked.QUERIES | records.QUERIES
+SQL: dict[str, str] = audits.SQL | worked.SQL | records_sql.SQL
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
