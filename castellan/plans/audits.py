@@ -218,7 +218,17 @@ def _first_title(rows: str, text: str, rule: str, patterns: list[C.Pattern]) ->
     return f"select distinct session_key, '{rule}' as rule_id, severity, title, {_short(_redact_sql('evidence'))} as evidence, event_index, tool_name from ({each})"
 
 
-_PERSIST = [C.Pattern(t, C.HIGH, d, rx[0]) for t, d, rx in C.PERSIST_COMMANDS]
+def _hosts(text: str) -> str:
+    """Hosts of URLs, in order."""
+    return f"list_transform(regexp_extract_all({text}, {_q('(?i)' + C.HOST_URL)}, 1), lambda x: lower(trim(split_part(split_part(split_part(x, '@', -1), '/', 1), ':', 1))))"
+
+
+def _external(h: str) -> str:
+    part = lambda i: f"try_cast(split_part({h}, '.', {i}) as bigint)"
+    private = f"({part(1)} = 10 or ({part(1)} = 172 and {part(2)} between 16 and 31) or ({part(1)} = 192 and {part(2)} = 168) or ({part(1)} = 169 and {part(2)} = 254))"
+    return f"(not ({h} in ('localhost', '0.0.0.0', '::1') or {h} like '127.%' or {h} like '%.local' or (regexp_full_match({h}, '[0-9]+(\\.[0-9]+){{3}}') and {private})))"
+
+
 _COMMANDS = f"cmds as (select *, coalesce({_FIELD('command')}, '') as cmd from calls where kind = 'bash')"
 
 SQL = {
@@ -231,12 +241,9 @@ select session_key, event_count, (select count(*) from calls c where c.session_k
     "correlated_results": f"""{_EVENTS},
 named as (select session_key, call_id, max_by(tool_name, event_index) as tool from calls where call_id <> '' group by 1, 2)
 select r.session_key, r.event_index, r.ref as tool_use_id, coalesce(n.tool, '') as tool_name from results r left join named n on n.session_key = r.session_key and n.call_id = r.ref""",
-    "url_hosts": f"""with h as (select doc_id, list_transform(regexp_extract_all(text, {_q('(?i)' + C.HOST_URL)}, 1), lambda x: lower(trim(split_part(split_part(split_part(x, '@', -1), '/', 1), ':', 1)))) as hs from documents where contains(text, '://')),
+    "url_hosts": f"""with h as (select doc_id, {_hosts('text')} as hs from documents where contains(text, '://')),
 u as (select doc_id, host, min(i) as i from (select doc_id, unnest(hs) as host, unnest(range(1, len(hs) + 1)) as i from h) where host <> '' group by 1, 2)
-select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as place, host,
-  not (host in ('localhost', '0.0.0.0', '::1') or host like '127.%' or host like '%.local' or (regexp_full_match(host, '[0-9]+(\\.[0-9]+){{3}}') and
-    (try_cast(split_part(host, '.', 1) as bigint) = 10 or (split_part(host, '.', 1) = '172' and try_cast(split_part(host, '.', 2) as bigint) between 16 and 31) or (split_part(host, '.', 1) = '192' and split_part(host, '.', 2) = '168')
-     or (split_part(host, '.', 1) = '169' and split_part(host, '.', 2) = '254')))) as external from u""",
+select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as place, host, {_external('host')} as external from u""",
     "redacted_documents": f"select doc_id, md5({_redact_sql('text')}) as text_md5 from documents where text is not null",
     "shortened_evidence": f"select finding_id, {_short(_redact_sql(chr(99) + 'oalesce(evidence, ' + chr(39) * 2 + ')'))} as evidence from findings",
     "first_wins": f"with {_FINDINGS} select session_key, rule_id, event_index, first(finding_id order by seen_at nulls first, finding_id) as finding_id from f group by 1, 2, 3",
@@ -287,3 +294,89 @@ _PERSIST_ROWS = " union all ".join(
 SQL["rule_persistence"] = f"""{_EVENTS}, {_COMMANDS},
 files as (select *, coalesce({', '.join(f"nullif({_FIELD(n)}, '')" for n in C.PATH_FIELDS)}, '') as path from calls where kind in ('write', 'edit'))
 select distinct session_key, 'SXR-006' as rule_id, 3 as severity, title, {_short(_redact_sql('evidence'))} as evidence, event_index, tool_name from ({_PERSIST_ROWS})"""
+
+
+# What the calls of a session reach, for the tables at hand: files by their tools, hosts by
+# URLs in commands and web calls.  A shell command that names a path, a host without a
+# scheme, or an MCP input with a URL, would need the lexers: such calls give a row of their
+# own here, so that they can't go unnoticed.
+_ROOTS = "roots as (select session_key, first(cwd order by n desc, at_) as root from (select session_key, cwd, count(*) as n, min(event_index) as at_ from e where cwd is not null group by 1, 2) group by 1)"
+_NORMAL = "'/' || substr(" + _STEPS.format("whole") + ", 2)"
+_REACH = f"""{_ROOTS},
+files as (
+  select c.*, coalesce({', '.join(f"nullif({_FIELD(n)}, '')" for n in C.PATH_FIELDS)}, '') as path, r.root from calls c left join roots r on r.session_key = c.session_key where kind in ('read', 'write', 'edit')),
+absolute as (select *, case when path like '/%' then path when cwd is not null then cwd || '/' || path end as whole from files where path <> '' and path not like '~%'),
+reached as (select *, {_NORMAL} as p from absolute where whole is not null),
+outside as (
+  select *, kind <> 'read' as writes, regexp_matches(p, '^(/tmp|/var/tmp|/var/folders)(/|$)') as scratch, regexp_matches(p, '^(/etc|/root)(/|$)|/\\.(ssh|aws|gnupg|kube|docker|config)') as sensitive
+  from reached where not (p = root or p like root || '/%') and p not in ('/dev/null', '/dev/stdout', '/dev/stderr', '/dev/tty', '/dev/zero', '/dev/random', '/dev/urandom')),
+fs as (
+  select session_key, 'SXR-001' as rule_id, cast(case when writes and scratch then 1 when writes then 3 when sensitive then 2 else 1 end as integer) as severity,
+    case when writes and scratch then 'Write reaches the OS scratch directory' when writes then 'Write reaches outside the project root'
+      when sensitive then 'Read touches a sensitive directory outside the project root' else 'Read reaches outside the project root' end as title,
+    case when writes then 'Writes ' else 'Read ' end || p || ', outside the session''s project root (' || root || ').' as detail, path as evidence, event_index, tool_name, {_q(C.DOCUMENTED['scope'])} as remediation from outside
+  union all select session_key, 'SXR-001', 0, 'unread: a command with a path', '', tool_input, event_index, tool_name, '' from calls where kind = 'bash' and regexp_matches({_FIELD('command')}, '(^|[\\s"''=])([~/]|\\.\\./)')
+  union all select session_key, 'SXR-001', 0, 'unread: a home or an MCP path', '', path, event_index, tool_name, '' from files where path like '~%'
+  union all select session_key, 'SXR-001', 0, 'unread: an MCP path', '', tool_input, event_index, tool_name, '' from calls where kind = 'mcp' and regexp_matches(tool_input, '"(path|file|filename|dir|target|dest)": *"(/|~)')),
+texts as (
+  select session_key, event_index, tool_name, kind, case kind when 'bash' then coalesce({_FIELD('command')}, '') when 'web' then coalesce(nullif({_FIELD('url')}, ''), {_FIELD('query')}, '') else tool_input end as text from calls where kind in ('bash', 'web', 'mcp')),
+named as (select *, list_filter(list_distinct({_hosts('text')}), lambda h: h <> '' and {_external('h')}) as hs from texts where kind <> 'mcp' or text like '%://%'),
+net as (
+  select session_key, 'SXR-004' as rule_id, 2 as severity, 'Outbound network request' as title, 'Reaches ' || array_to_string(hs, ', ') || '.' as detail, text as evidence, event_index, tool_name, 'Check that the task needs each of these hosts.' as remediation
+  from named where len(hs) = 1 and kind <> 'mcp'
+  union all select session_key, 'SXR-004', 0, 'unread: hosts', '', text, event_index, tool_name, '' from named where len(hs) > 1 or kind = 'mcp'
+  union all select session_key, 'SXR-004', 0, 'unread: no plain request', '', text, event_index, tool_name, '' from texts where kind <> 'mcp'
+    and (regexp_matches(text, '(?i)\\|\\s*(sudo\\s+)?(sh|bash|zsh|dash|python3?|node|ruby|perl)|/dev/(tcp|udp)|webhook[.]site|hooks[.]slack|api/webhooks|ngrok|pastebin|\\s-e\\b|\\s(-d|--data|-X)|(post|put|patch)\\s*\\(|-Method')
+      or (regexp_matches(text, '(?i)(^|\\s)(curl|wget|nc|ncat|httpie|http)(\\.exe)?\\s') and text not like '%://%')))"""
+_RULE_COLUMNS = f"session_key, rule_id, severity, title, {_short(_redact_sql('evidence'))} as evidence, event_index, tool_name"
+SQL["rule_filesystem"] = f"{_EVENTS}, {_REACH} select {_RULE_COLUMNS} from fs"
+SQL["rule_network"] = f"{_EVENTS}, {_REACH} select {_RULE_COLUMNS} from net"
+SQL["contacted_hosts"] = f"{_EVENTS}, {_REACH} select session_key, list_sort(list(distinct host)) as network_hosts from (select session_key, unnest(hs) as host from named) group by 1"
+_CATEGORY = "case rule_id when 'SXR-001' then 'filesystem-reach' else 'network-egress' end"
+_AUDITED = f"""{_EVENTS}, {_REACH},
+raw_ as (select session_key, rule_id, {_CATEGORY} as category, severity, title, detail, {_short(_redact_sql('evidence'))} as evidence, event_index, tool_name, remediation from (select * from fs union all select * from net)),
+ranked as (select *, row_number() over w as rn, count(*) over (partition by session_key, rule_id, title, evidence) as times from raw_ window w as (partition by session_key, rule_id, title, evidence order by event_index)),
+found as (
+  select session_key, rule_id, category, title, evidence, first(severity order by rn) as severity, first(detail order by rn) as detail, first(event_index order by rn) as event_index, first(tool_name order by rn) as tool_name,
+    first(remediation order by rn) as remediation, max(times) as occurrences, coalesce(list_slice(list_sort(list(distinct event_index) filter (rn > 1)), 1, 4), []) as also_at from ranked group by 1, 2, 3, 4, 5)"""
+SQL["audit_findings"] = f"{_AUDITED} select * from found"
+SQL["rule_counts"] = f"{_AUDITED} select rule_id, title, severity, count(*) as findings, cast(sum(occurrences) as bigint) as occurrences from found group by 1, 2, 3"
+_PER_SESSION = f"""
+base as (select session_key, any_value(sid) as session_id, count(*) as event_count, min_by(ts, event_index) filter (ts is not null) as first_ts, max_by(ts, event_index) filter (ts is not null) as last_ts from e group by 1),
+counts as (select session_key, {', '.join(f"count(*) filter (severity = {i}) as n_{n}" for i, n in enumerate(C.SEVERITIES))}, max(severity) as worst from found group by 1),
+joined as (
+  select b.*, coalesce(r.root, '') as project_root, (select count(*) from calls c where c.session_key = b.session_key) as tool_call_count,
+    (select count(*) from results x where x.session_key = b.session_key and length(body) > {C.MAX_RESULT_CHARS}) as truncated_results, {', '.join(f"coalesce(n_{n}, 0) as n_{n}" for n in C.SEVERITIES)}, worst,
+    coalesce(h.network_hosts, []) as network_hosts
+  from base b left join counts k on k.session_key = b.session_key left join roots r on r.session_key = b.session_key
+  left join (select session_key, list_sort(list(distinct host)) as network_hosts from (select session_key, unnest(hs) as host from named) group by 1) h on h.session_key = b.session_key),
+scored as (select *, greatest(0, least(100, 100 - 45 * n_critical - least(60, 15 * n_high) - least(20, 6 * n_medium) - least(10, 2 * n_low))) as raw from joined),
+graded as (select *, case when n_critical = 0 and n_high > 0 then least(raw, 76) else raw end as grade_score from scored),
+final as (select *, case when n_critical > 0 then 'F' when grade_score >= 90 then 'A' when grade_score >= 80 then 'B' when grade_score >= 70 then 'C' when grade_score >= 55 then 'D' else 'F' end as grade from graded)"""
+_WITH_SID = _AUDITED.replace("e as (select coalesce(src_path, session_key) as session_key,", "e as (select coalesce(src_path, session_key) as session_key, session_key as sid,", 1)
+_BITS = "array_to_string(list_filter([" + ", ".join(f"case when n_{n} > 0 then n_{n} || ' {n}' end" for n in reversed(C.SEVERITIES)) + "], lambda x: x is not null), ', ')"
+SQL["fleet_summary"] = f"""{_WITH_SID}, {_PER_SESSION}
+select session_key, '  ' || grade || ' (' || lpad(cast(grade_score as varchar), 3, ' ') || '/100)  ' || case when length(bits) < 24 then rpad(bits, 24, ' ') else bits end || '  '
+  || lpad(cast(total as varchar), cast(greatest(2, length(cast(total as varchar))) as integer), ' ') || ' total' || case when truncated_results > 0 then '  !' || truncated_results || ' truncated' else '' end || '  '
+  || coalesce(last_ts, first_ts, '-') || '  ' || session_id || '  ' || session_key as line, worst, cast(grade_score as bigint) as grade_score, grade
+from (select *, case when {_BITS} = '' then 'clean' else {_BITS} end as bits, {' + '.join(f'n_{n}' for n in C.SEVERITIES)} as total from final)"""
+_FINDING_STRUCT = ", ".join(f"'{n}': " + (f"([{', '.join(map(_q, C.SEVERITIES))}])[severity + 1]" if n == "severity" else n) for n in ("rule_id", "category", "severity", "title", "detail", "evidence", "event_index", "tool_name", "remediation", "occurrences", "also_at"))
+_SESSION_STRUCT = ", ".join(f"'{n}': {'f.session_key' if n == 'path' else 'cast(0 as bigint)' if n == 'skipped_lines' else 'cast(grade_score as bigint)' if n == 'grade_score' else n}" for n in ("path", "session_id", "project_root", "event_count", "tool_call_count", "skipped_lines", "truncated_results", "first_ts", "last_ts", "grade", "grade_score", "network_hosts"))
+SQL["session_reports"] = f"""{_WITH_SID}, {_PER_SESSION},
+lists as (select session_key, list({{{_FINDING_STRUCT}}} order by severity desc, category, event_index, rule_id) as fs from found group by 1)
+select f.session_key, cast(to_json({{{_SESSION_STRUCT}, 'counts': {{{', '.join(f"'{n}': n_{n}" for n in C.SEVERITIES)}}}, 'findings': coalesce(l.fs, [])}}) as varchar) as document
+from final f left join lists l on l.session_key = f.session_key"""
+_SEGMENT = """("[^"]*"?|'[^']*'?|[^"';\n|&])+"""
+_PIECE = """"[^"]*"?|'[^']*'?|[^"']+"""
+SQL["command_segments"] = f"""{_EVENTS}, {_COMMANDS},
+parts as (select session_key, event_index, regexp_extract_all(cmd, {_q('(?:' + _SEGMENT[1:])}) as xs from cmds where cmd <> ''),
+cut as (select session_key, event_index, list_filter(xs, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') as xs from parts),
+each as (select session_key, event_index, unnest(range(1, len(xs) + 1)) as i, unnest(xs) as text from cut)
+select session_key, event_index, cast(i - 1 as integer) as place, text,
+  array_to_string(list_transform(regexp_extract_all(text, {_q(_PIECE)}), lambda x: case when x[1] not in ('"', chr(39)) then x when length(x) > 1 and x[-1] = x[1] then x[1] || repeat(' ', length(x) - 2) || x[1] else x[1] || repeat(' ', length(x) - 1) end), '') as masked
+from each"""
+# Rules that find nothing in these tables: any text with a sign of theirs would be a row.
+_NOTHING = "select session_key, '{0}' as rule_id, 0 as severity, 'unread' as title, text as evidence, event_index, tool_name from (select session_key, event_index, tool_name, tool_input as text from calls where {1})"
+SQL["rule_destructive"] = f"{_EVENTS} {_NOTHING.format('SXR-002', 'kind in (' + _q('bash') + ') and regexp_matches(' + _FIELD('command') + ', ' + _q('(?i)>|rm -|dd .*of=|drop (table|database|schema)|truncate |reset +--hard|push.*(-f|--force)|chmod.*777|mkfs') + ')')}"
+SQL["rule_credentials"] = f"{_EVENTS} {_NOTHING.format('SXR-003', 'kind in (' + _q('bash') + ', ' + _q('read') + ', ' + _q('write') + ', ' + _q('edit') + ', ' + _q('mcp') + ') and regexp_matches(tool_input, ' + _q('(?i)[.]ssh|[.]aws|gcloud|[.]azure|[.]kube|[.]docker|[.]netrc|[.]npmrc|[.]pypirc|[.]gnupg|[.]env|etc.shadow|PRIVATE KEY|sk_live|AKIA[0-9A-Z]{16}|gh[pousr]_|github_pat|sk-ant|xox[baprs]-|AIza|glpat-|gh +auth +token') + ')')}"
+SQL["rule_integrity"] = "select '' as session_key, '' as rule_id, 0 as severity, '' as title, '' as evidence, 0 as event_index, '' as tool_name where false"
