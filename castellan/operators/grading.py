@@ -72,9 +72,13 @@ def grade_rank(c: Column) -> Column:
     return out.otherwise(0)
 
 
-def in_report_order(findings: DataFrame) -> DataFrame:
+def report_order() -> list[Column]:
     """Within a session: worst first, then category, event and order of emission."""
-    return findings.orderBy("session_key", F.desc("severity"), "category", "event_index", "emit")
+    return [F.desc("severity"), F.col("category"), F.col("event_index"), F.col("emit")]
+
+
+def in_report_order(findings: DataFrame) -> DataFrame:
+    return findings.orderBy("session_key", *report_order())
 
 
 def summary_lines(results: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from castellan.functions import evidence, hosts, lexers, paths
 from castellan.functions.text import session_key
 from castellan.operators import grading, sessions
+from castellan.operators.ordering import numbered
 from castellan.operators.tables import cut, stored
 from castellan.plans.audit import audit_events, egress_of, inputs
 from castellan.plans.load import table
@@ -91,6 +92,18 @@ def shortened_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence.with_evidence(table(spark, d, "findings").select("finding_id", "evidence"))
 
 
+def escaped_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with control characters in their visible form."""
+    docs = table(spark, d, "documents").where(F.col("text").rlike(r"[\x00-\x1f\x7f-\x9f]"))
+    return docs.select("doc_id", F.md5(evidence.escaped(F.col("text"))).alias("text_md5"))
+
+
+def report_places(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of each session in report order."""
+    found = _found(spark, d).join(table(spark, d, "findings").select("finding_id", "category"), "finding_id").where("session_key is not null")
+    return numbered(found.select("session_key", "finding_id", (-F.col("severity")).alias("_level"), "category", "event_index", "emit"), "session_key", "_level", "category", "event_index", "emit", name="place").select("session_key", "finding_id", "place")
+
+
 def first_wins(spark: SparkSession, d: str) -> DataFrame:
     """First finding of each session, rule and event, by time and id."""
     f = _found(spark, d)
@@ -162,7 +175,7 @@ def session_reports(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tool_kinds, majority_cwd, home_folders, session_attributes, session_counters, correlated_results, url_hosts, contacted_hosts, redacted_documents, shortened_evidence, first_wins, collapsed_findings,
+        tool_kinds, majority_cwd, home_folders, session_attributes, session_counters, correlated_results, url_hosts, contacted_hosts, redacted_documents, shortened_evidence, escaped_texts, report_places, first_wins, collapsed_findings,
         severity_counts, graded_sessions, min_grade, fail_on, tail_newest, path_predicates, command_segments, hidden_texts, audit_findings, rule_counts, fleet_summary, session_reports,
     )
 } | {
@@ -380,3 +393,14 @@ _NOTHING = "select session_key, '{0}' as rule_id, 0 as severity, 'unread' as tit
 SQL["rule_destructive"] = f"{_EVENTS} {_NOTHING.format('SXR-002', 'kind in (' + _q('bash') + ') and regexp_matches(' + _FIELD('command') + ', ' + _q('(?i)>|rm -|dd .*of=|drop (table|database|schema)|truncate |reset +--hard|push.*(-f|--force)|chmod.*777|mkfs') + ')')}"
 SQL["rule_credentials"] = f"{_EVENTS} {_NOTHING.format('SXR-003', 'kind in (' + _q('bash') + ', ' + _q('read') + ', ' + _q('write') + ', ' + _q('edit') + ', ' + _q('mcp') + ') and regexp_matches(tool_input, ' + _q('(?i)[.]ssh|[.]aws|gcloud|[.]azure|[.]kube|[.]docker|[.]netrc|[.]npmrc|[.]pypirc|[.]gnupg|[.]env|etc.shadow|PRIVATE KEY|sk_live|AKIA[0-9A-Z]{16}|gh[pousr]_|github_pat|sk-ant|xox[baprs]-|AIza|glpat-|gh +auth +token') + ')')}"
 SQL["rule_integrity"] = "select '' as session_key, '' as rule_id, 0 as severity, '' as title, '' as evidence, 0 as event_index, '' as tool_name where false"
+
+
+def _escaped_sql(c: str) -> str:
+    for i in (*range(1, 32), *range(127, 160)):
+        c = f"replace({c}, chr({i}), '\\x{i:02x}')"
+    return c
+
+
+SQL["escaped_texts"] = f"select doc_id, md5({_escaped_sql('text')}) as text_md5 from documents where text <> {_escaped_sql('text')}"
+SQL["report_places"] = f"""with {_FINDINGS} select session_key, finding_id, row_number() over (partition by session_key order by level desc, category nulls first, event_index nulls first, seen_at nulls first, finding_id) - 1 as place
+from f where session_key is not null"""
