@@ -132,9 +132,10 @@ class Encoder:
         letters |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in letters)}
         self.byte_ids = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         back = {c: b for b, c in letters.items()}
-        self.lengths = np.zeros(self.size, np.int32)
+        self.bytes_of = [b""] * self.size
         for token, i in vocab.items():
-            self.lengths[i] = len(token) if all(c in back for c in token) else len(token.encode())
+            self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int32)
         self._forget()
 
     def _forget(self) -> None:
@@ -222,6 +223,10 @@ class Encoder:
         for i, w in enumerate(short + long_):
             self.index[w] = base + i
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of the ids; bytes that are no UTF-8 come out as replacement signs."""
+        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+
     # -- encoding --------------------------------------------------------------
 
     def words_ids(self, words: pa.Array, with_ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:

@@ -148,3 +148,20 @@ def shares(mixed: DataFrame, mix_targets: DataFrame) -> DataFrame:
             *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "copies", "most_copies", "tokens")),
         )
     )
+
+
+def checks(mixed: DataFrame, mix_targets: DataFrame, sized: DataFrame) -> DataFrame:
+    """(source, within_cap, share_met, as_large_as_possible) of every target source.
+
+    ``sized`` has the source and n_tokens of all documents.  A share is met if the source's
+    tokens miss it by less than its largest document (and the one whose rounding is left
+    over); the mix is as large as possible if some source is used up to its cap.
+    """
+    named = F.lower(trim_blanks(F.col("source")))
+    have = sized.groupBy(named.alias("source")).agg(F.sum("n_tokens").alias("_have"), F.max("n_tokens").alias("_largest"))
+    rows = shares(mixed, mix_targets).join(F.broadcast(have), "source", "left")  # at most one row a target
+    total = rows.agg(F.sum("tokens").alias("_all"), F.sum("_largest").alias("_slack"), F.max(F.col("tokens") + F.col("_largest") >= F.col("max_repeats") * F.col("_have")).alias("_full"))
+    return rows.join(F.broadcast(total), F.lit(True)).select(  # one row
+        "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"),
+        (F.abs(F.col("tokens") - F.col("target_share") * F.col("_all")) <= F.col("_largest") + F.col("target_share") * F.col("_slack")).alias("share_met"), F.col("_full").alias("as_large_as_possible"),
+    )

@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castellan.operators.tables import cut
@@ -385,3 +385,12 @@ def redacted(all_texts: DataFrame) -> DataFrame:
             yield p.assign(n_credentials=[len(c) for c in found])
 
     return all_texts.mapInPandas(scan, "src_table string, field_name string, row_key long, text string, n_credentials int")
+
+
+def differs_only_in_masks(before: Column, after: Column) -> Column:
+    """Whether ``after`` is ``before`` with some characters as asterisks."""
+
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(x) == len(y) and all(p == q or q == "*" for p, q in zip(x, y)) for x, y in zip(a, b)])
+
+    return F.pandas_udf(each, "boolean")(before, after)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from castellan.functions.text import trim_blanks
 from castellan.llm.bpe import DEFAULT_VOCABULARY, Encoder, Words, encoder, slices
-from castellan.llm.tokens import bounded
+from castellan.llm.tokens import bounded, with_token_counts
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, TOKEN_GROUP, CHARACTER = 6, 5, 4, 3, 2, 1, 0
 #: A piece that is cut holds at least this share of its limit, unless only less ends naturally.
@@ -246,3 +246,26 @@ def pieces(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFA
     return documents.select("doc_id", kind.alias("_kind"), F.col("text").alias("_text")).mapInArrow(
         work, "doc_id long, piece_no int, start_char int, end_char int, n_tokens int, overlap_tokens int, piece string"
     )
+
+
+def checks(documents: DataFrame, chunk_limits: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(doc_id, sound) of every document: its pieces without what they share are its text,
+    in order, each within the limit of its kind (or one character) and reaching beyond the
+    one before; a text without pieces is within the limit."""
+    table = limits_of(chunk_limits)
+    kind = F.coalesce(F.lower(trim_blanks(F.col("doc_kind"))), F.lit("default"))
+    usual = F.lit(table.get("default", (2**31 - 1, 0))[0])
+    most = usual
+    for k, (m, _) in table.items():
+        most = F.when(kind == k, m).otherwise(most)
+    docs = with_token_counts(documents.select("doc_id", most.alias("most"), F.coalesce(F.md5("text"), F.md5(F.lit(""))).alias("text_md5"), "text"), vocabulary=vocabulary)
+    made = pieces(documents, chunk_limits, vocabulary)
+    step = F.struct("piece_no", "start_char", "end_char", "n_tokens", "piece")
+    per = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(step)).alias("ps"))
+    end_before = lambda i: F.when(i > 0, F.get(F.col("ps"), i - 1)["end_char"]).otherwise(0)
+    own = F.transform("ps", lambda p, i: F.substr(p["piece"], end_before(i) - p["start_char"] + 1))
+    whole = F.md5(F.array_join(own, ""))
+    reach = F.forall(F.transform("ps", lambda p, i: (p["piece_no"] == i) & (p["start_char"] <= end_before(i)) & (p["end_char"] > end_before(i))), lambda x: x)
+    fits = F.forall("ps", lambda p: (p["n_tokens"] <= F.col("most")) | (F.length(p["piece"]) == 1))
+    joined = docs.join(per, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("ps").isNull(), F.col("n_tokens") <= F.col("most")).otherwise((whole == F.col("text_md5")) & reach & fits & (F.col("n_tokens") > F.col("most"))).alias("sound"))

@@ -48,6 +48,18 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
     return source.mapInArrow(encode, T.StructType([source.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def texts_of_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """(key, text) of lists of ids; an empty or null list gives an empty text."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    source = df.select(key, F.col(ids).alias("ids"))
+    return source.mapInArrow(decode, T.StructType([source.schema[0], T.StructField("text", T.StringType())]))
+
+
 def with_token_counts(df: DataFrame, text: str = "text", name: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``df`` without its text but with its number of tokens; 0 for empty and null texts."""
 
