@@ -91,6 +91,27 @@ def test_parsing(spark, tmp_path):
     assert titles == {"bad.jsonl": "Transcript unreadable"}
 
 
+def test_files_in_many_splits(spark, tmp_path):
+    """Numbers of lines hold wherever a split begins; only a line feed ends a line."""
+    odd = "a b+c%20[1]{x}.jsonl"
+    texts = {"big.jsonl": [f'{{"n": {i}, "x": "{"y" * (i % 97)}"}}' if i % 7 else "" for i in range(900)], odd: ["{}", "a\rb", "", "  ", "\u2028", "last"], "_h.jsonl": ["{}", "", "z"], "none.jsonl": []}
+    for name, rows in texts.items():
+        (tmp_path / name).write_bytes("\n".join(rows).encode() + (b"\n" if name == "big.jsonl" else b""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = transcripts.lines(spark, transcripts.discover([tmp_path])).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in rows:
+        got.setdefault(r.path.rsplit("/", 1)[1], {})[r.event_index] = bytes(r.line).decode()
+    assert got == {n: {i: x for i, x in enumerate(rs) if x.strip(" \r")} for n, rs in texts.items() if rs}
+    uri = f"file://{tmp_path}"
+    assert transcripts.discover([uri], spark) == transcripts.discover([tmp_path]) and transcripts.discover([uri + "/b*.jsonl"], spark) == [str(tmp_path / "big.jsonl")]
+    assert transcripts.discover([uri + "/nothing"], spark) == []
+
+
 @pytest.mark.parametrize("levels, want", [([], ("A", 100)), ([3], ("C", 76)), ([3] * 2, ("C", 70)), ([3] * 3, ("D", 55)), ([3] * 5, ("F", 40)), ([2], ("A", 94)), ([2] * 9, ("B", 80)), ([1] * 99, ("A", 90)), ([4], ("F", 55)), ([0] * 5, ("A", 100)), ([4] * 3, ("F", 0))])
 def test_grades(spark, levels, want):
     rows = [("k", "r", str(i), str(i), i, s, i) for i, s in enumerate(levels)]
@@ -120,6 +141,9 @@ def test_reports(spark, tmp_path):
     assert doc["sessions"][1]["first_ts"] is None and first["network_hosts"] == ["h.example.org"]
     human = "".join(report.render_human(done, color=False))
     assert "Uses sudo  (seen 2x)" in human and "event #0 (Bash), also at #1" in human and "outbound hosts contacted: h.example.org" in human and "No findings." in human
+    report.write_documents(done, str(tmp_path / "docs"))
+    written = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "docs")).collect()]
+    assert sorted(w["path"] for w in written) == [s["path"] for s in doc["sessions"]]
     assert "\033[31m" in "".join(report.render_human(done))
     plain = "".join(report.render_summary(done, color=False)).split("\n")
     assert len(plain) == 2 and plain[0].startswith("  C ( 76/100)  1 high, 1 medium ") and plain[1].split("  ")[2].strip() == "clean"
