@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +43,22 @@ def hit(when: Column, tag: Column | str, severity: Column | int, title: Column |
     return F.when(when, body)
 
 
-def _flat(rows: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """One row per hit of any rule: one array, exploded once."""
+_MADE: dict[tuple, Column] = {}
 
-    def tagged(rule: Rule) -> Column:
+
+def _tagged(rule: Rule) -> Column:
+    """Hits of a rule with its number.  A rule's column names no table, so it is put together
+    once in the life of an engine."""
+    made = (rule, id(SparkContext._gateway))
+    if made not in _MADE:
         real = F.filter(F.coalesce(rule.hits(), F.array().cast(NONE)), lambda x: x.isNotNull())
-        return F.transform(real, lambda x: F.struct(F.lit(int(rule.rule_id[-1])).alias("rule"), x.alias("hit")))
+        _MADE[made] = F.transform(real, lambda x: F.struct(F.lit(int(rule.rule_id[-1])).alias("rule"), x.alias("hit")))
+    return _MADE[made]
+
 
-    found = rows.select("session_key", "event_index", "block", "tool_name", F.posexplode(F.concat(*map(tagged, rules))).alias("_pos", "_f"))
+def _flat(rows: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """One row per hit of any rule: one array, exploded once."""
+    found = rows.select("session_key", "event_index", "block", "tool_name", F.posexplode(F.concat(*map(_tagged, rules))).alias("_pos", "_f"))
     emit = F.struct(F.col("_f.rule").alias("rule"), F.col("event_index").alias("line"), "block", F.col("_pos").alias("pos"))
     return found.select("session_key", "event_index", "tool_name", emit.alias("emit"), F.col("_f.hit").alias("hit"))
 
@@ -106,14 +115,13 @@ def prepared_calls(calls: DataFrame, sessions: DataFrame) -> DataFrame:
         }
     ).drop("_mcp", "_v", "_url")
     command = F.when(kind == "bash", F.col("cmd")).when(kind == "mcp", F.col("mcp_cmd")).otherwise("")
-    bash = F.when((kind == "bash") & (F.col("cmd") != ""), F.col("cmd"))
-    return staged.withColumn("command", command).withColumns(
+    return staged.withColumns(
         {
-            "segments": lexers.segments(F.nullif("command", F.lit(""))),
-            "pipelines": F.coalesce(lexers.pipelines(bash), none),
+            "command": command,
+            "_parts": lexers.sub_commands(F.nullif(command, F.lit(""))),
             "flat": F.coalesce(lexers.flat_input(F.when(kind.isin("write", "edit"), F.col("input_json"))), F.lit("")),
         }
-    )
+    ).withColumns({"segments": F.col("_parts.segments"), "pipelines": F.when(kind == "bash", F.col("_parts.pipelines")).otherwise(none)}).drop("_parts")
 
 
 def egress_calls(calls: DataFrame) -> DataFrame:
