@@ -15,14 +15,18 @@ def _sightings(spark: SparkSession, d: str) -> tuple[dict[str, str], DataFrame]:
     return aliases, drift.field_sightings(table(spark, d, "drift_records"), aliases)
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _changes(spark: SparkSession, d: str) -> DataFrame:
     _, seen = _sightings(spark, d)
-    return drift.changes(drift.lifespans(cut(seen))).select("file_id", "field_path", "change_kind")
+    # the catalogue is small next to the records and read four times
+    return drift.changes(cut(drift.lifespans(cut(seen))))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _changes(spark, d).select("file_id", "field_path", "change_kind")
 
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
-    _, seen = _sightings(spark, d)
-    return drift.changes(drift.lifespans(cut(seen)))
+    return _changes(spark, d)
 
 
 def p2_casts(spark: SparkSession, d: str) -> DataFrame:
