@@ -51,9 +51,12 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_int=_whole, parse_float=_real, strict=True)
-#: The same, but NaN and Infinity are numbers.
-_LENIENT = json.JSONDecoder(parse_int=_whole, parse_float=_real, strict=True)
+#: Decoders by whether NaN and Infinity are numbers: first one that makes ints of all whole
+#: numbers, then one for texts with numbers too long for that.
+_DECODERS = {
+    lenient: [json.JSONDecoder(parse_constant=None if lenient else _no_constant, parse_int=whole, parse_float=_real, strict=True) for whole in (None, _whole)]
+    for lenient in (False, True)
+}
 #: JSON types of values as they are read (null has none).
 KINDS = {str: "string", bool: "boolean", int: "number", float: "number", Number: "number", dict: "object", list: "array"}
 
@@ -66,8 +69,14 @@ def parse(text: str, lenient: bool = False) -> object:
     """The value of an RFC 8259 text; ValueError for anything else.  Of repeated names the
     last counts.  NaN and Infinity pass where ``lenient``."""
     body = text.strip(_BLANK)
+    quick, exact = _DECODERS[lenient]
     try:
-        value, end = (_LENIENT if lenient else _DECODER).raw_decode(body)
+        try:
+            value, end = quick.raw_decode(body)
+        except json.JSONDecodeError:
+            raise
+        except ValueError:
+            value, end = exact.raw_decode(body)
     except RecursionError:
         return _parse_deep(body)
     if end != len(body):

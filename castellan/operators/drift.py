@@ -91,16 +91,17 @@ def field_sightings(records: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths(aliases)
+        paths, kinds = Paths(aliases), jsontext.KINDS
         for b in batches:
             seen: dict[tuple, list[int]] = {}
             for stream, file_id, at, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 seen.setdefault((stream, file_id, at, None, None, None), [0, 0, 0])
                 own: dict[tuple, tuple[bool, bool]] = {}
                 for p, name, v, place in paths.fields(_parsed(text)):
-                    k = (p, name, jsontext.kind_of(v))
-                    plain, inside = own.get(k, (False, False))
-                    own[k] = plain or k[2] == "array" and _has_plain(v), inside or bool(place)
+                    k = (p, name, kinds.get(type(v)))
+                    if k not in own or place or k[2] == "array":
+                        plain, inside = own.get(k, (False, False))
+                        own[k] = plain or k[2] == "array" and _has_plain(v), inside or bool(place)
                 for k, flags in own.items():
                     n = seen.setdefault((stream, file_id, at, *k), [0, 0, 0])
                     for i, x in enumerate((1, *flags)):
