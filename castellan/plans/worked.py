@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castellan.operators import grading, sessions
+from castellan.operators.ordering import numbered
 from castellan.operators.tables import cut, stored
 from castellan.plans.audit import RULES, audit_events, inputs
 from castellan.plans.load import table
@@ -108,15 +109,10 @@ def worked_findings(spark: SparkSession, d: str) -> DataFrame:
 def worked_grades(spark: SparkSession, d: str) -> DataFrame:
     """Graded sessions in the order of the fleet summary."""
     done = audit_events(stored(_events(spark, d)))
-    order = F.row_number().over(_fleet_window())
-    return done.results.select("session_key", "grade", "grade_score", "tool_call_count", "skipped_lines", *(f"n_{n}" for n in ("low", "medium", "high", "critical")), order.alias("place"))
-
-
-def _fleet_window():
-    from pyspark.sql import Window
-
-    # one row a session; the order is that of grading.in_fleet_order
-    return Window.partitionBy(F.lit(0)).orderBy(*grading.fleet_order())
+    level, points, path = grading.fleet_order()
+    rows = done.results.withColumns({"_all": F.lit(0), "_level": level, "_points": points})
+    placed = numbered(rows.drop("network_hosts"), "_all", "_level", "_points", "session_key", name="_seq")
+    return placed.select(path, "grade", "grade_score", "tool_call_count", "skipped_lines", *(f"n_{n}" for n in ("low", "medium", "high", "critical")), (F.col("_seq") + 1).cast("int").alias("place"))
 
 
 def worked_unreadable(spark: SparkSession, d: str) -> DataFrame:
