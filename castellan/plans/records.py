@@ -35,13 +35,13 @@ def p2_casts(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     aliases, seen = _sightings(spark, d)
-    return drift.consistent_table(table(spark, d, "drift_records"), aliases, *drift.table_plan(drift.casts(seen)))
+    return drift.consistent_table(table(spark, d, "drift_records"), aliases, *drift.table_plan(cut(drift.casts(seen))))
 
 
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
     """Filled cells of every column of p2_table."""
     aliases, seen = _sightings(spark, d)
-    return drift.values_per_path(table(spark, d, "drift_records"), aliases, drift.table_plan(drift.casts(seen))[0])
+    return drift.values_per_path(table(spark, d, "drift_records"), aliases, drift.table_plan(cut(drift.casts(seen)))[0])
 
 
 def _nodes(spark: SparkSession, d: str, with_members: bool = True) -> DataFrame:
