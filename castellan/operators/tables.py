@@ -13,15 +13,13 @@ _OWN: set[str] = set()
 
 
 def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    for folder in _OWN:
-        try:
+    try:
+        spark = SparkSession.getActiveSession()
+        for folder in _OWN if spark is not None else ():
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may be gone; nothing depends on this
-            return
+    except Exception:  # the engine may be gone already; nothing depends on this
+        return
 
 
 atexit.register(_clean)
@@ -50,5 +48,6 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder as a table, for readers that want some of its
     columns or rows each.  Order and partitions aren't kept."""
     folder = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _OWN.add(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -43,13 +43,13 @@ def hit(when: Column, tag: Column | str, severity: Column | int, title: Column |
     return F.when(when, body)
 
 
-_MADE: dict[tuple, Column] = {}
+_MADE: dict[tuple[Rule, object], Column] = {}
 
 
 def _tagged(rule: Rule) -> Column:
     """Hits of a rule with its number.  A rule's column names no table, so it is put together
     once in the life of an engine."""
-    made = (rule, id(SparkContext._gateway))
+    made = (rule, SparkContext._gateway)
     if made not in _MADE:
         real = F.filter(F.coalesce(rule.hits(), F.array().cast(NONE)), lambda x: x.isNotNull())
         _MADE[made] = F.transform(real, lambda x: F.struct(F.lit(int(rule.rule_id[-1])).alias("rule"), x.alias("hit")))
