@@ -73,3 +73,15 @@ def test_equal_rows_share_no_bucket(spark, monkeypatch):
     assert share["a"] == pytest.approx(0.35, abs=0.01)
     first = largest[1]  # rows of the first level, with their buckets
     assert first.where("source = 'a'").groupBy("bucket").count().agg({"count": "max"}).first()[0] < 100
+
+
+def test_checks_see_what_is_wrong(spark):
+    targets = spark.createDataFrame([("A", 0.5, 2), ("b", 0.5, 1)], TARGETS)
+    sized = spark.createDataFrame([("a", 10)] * 30 + [(" B", 10)] * 60, "source string, n_tokens long")
+    mix = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, source string, n_tokens long, copies int")
+    verdict = lambda m: {r.source: (r.within_cap, r.share_met, r.as_large_as_possible) for r in mixing.checks(m, targets, sized).collect()}
+    good = [(i, "a", 10, 2) for i in range(30)] + [(i, "b", 10, 1) for i in range(60)]
+    assert set(verdict(mix(*good)).values()) == {(True, True, True)}
+    assert verdict(mix(*good[1:], (0, "a", 10, 3)))["a"][0] is False
+    assert verdict(mix(*good[10:]))["a"][1] is False
+    assert {v[2] for v in verdict(mix(*good[:10], *good[30:50])).values()} == {False}

@@ -111,3 +111,10 @@ def test_many_keys_without_end_take_linear_time():
         began = time.time()
         secrets.find(text, WORDS)
         assert time.time() - began < 5, text[:60]
+
+
+def test_the_check_of_masks_sees_what_is_wrong(spark):
+    rows = [("a b", "a b"), ("a b", "* *"), ("a b", "a c"), ("a b", "a  b"), ("", "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = [r.ok for r in df.select(secrets.differs_only_in_masks(df.x, df.y).alias("ok")).collect()]
+    assert got == [True, True, False, False, True]

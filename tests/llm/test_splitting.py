@@ -72,3 +72,19 @@ def test_a_natural_end_before_half_of_the_limit_is_better_than_none(spark):
     for i in (1, 2):
         ps = [r for r in got if r.doc_id == i]
         assert all(a.start_char < b.start_char <= a.end_char < b.end_char for a, b in zip(ps, ps[1:])) and ps[-1].end_char == len((text, "q7x" * 400)[i - 1])
+
+
+def test_checks_see_what_is_wrong(spark, monkeypatch):
+    text = "One sentence of a few words. " * 30
+    docs = spark.createDataFrame([(1, text, None), (2, "short", None), (3, None, "chat")], "doc_id long, text string, doc_kind string")
+    limits = spark.createDataFrame([("default", 40, 5)], "doc_kind string, max_tokens int, overlap_tokens int")
+    sound = lambda: {r.doc_id: r.sound for r in splitting.checks(docs, limits).collect()}
+    assert sound() == {1: True, 2: True, 3: True}
+    real = splitting.pieces
+    for wrong in ("piece_no <> 1", "piece_no <> 0", "piece_no < 3"):  # a piece is missing
+        monkeypatch.setattr(splitting, "pieces", lambda *a, w=wrong: real(*a).where(w))
+        assert sound() == {1: False, 2: True, 3: True}
+    monkeypatch.setattr(splitting, "pieces", lambda *a: real(*a).where("false"))  # not cut at all
+    assert sound() == {1: False, 2: True, 3: True}
+    monkeypatch.setattr(splitting, "pieces", lambda *a: real(*a).selectExpr("doc_id", "piece_no", "start_char", "end_char", "n_tokens + 1 as n_tokens", "overlap_tokens", "upper(piece) as piece"))
+    assert sound()[1] is False

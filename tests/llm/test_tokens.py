@@ -78,3 +78,12 @@ def test_tables(spark, reference):
     counts = tokens.with_token_counts(df.drop("_text"))
     assert sorted(r.n_tokens for r in counts.collect()) == sorted(len(reference(t or "")) for _, t in rows)
     assert tokens.token_ids(df.limit(0)).count() == 0
+
+
+def test_ids_decode_to_their_texts(spark):
+    from castellan.llm import tokens
+
+    texts = ["", None, "plain words\n\n", "日本語 🙂 é̀", "\x00\x7f​", "x" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in tokens.texts_of_ids(tokens.token_ids(docs)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
